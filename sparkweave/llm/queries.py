@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import mixing, sharding, url_filter
+from sparkweave.llm import decontaminate, jaccard, mixing, sharding, url_filter
 from sparkweave.llm.common import table, text_crc32, text_size_bytes
 
 
@@ -37,6 +37,10 @@ FROM judged
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", (text_size_bytes(F.col("text")) + 16).alias("size"), text_crc32(F.col("text")).alias("text_crc32"))
@@ -48,5 +52,29 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
-ORACLES = {"op1_url_filter": OP1_SQL}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Word lists, shingle sets, all pairs that share a shingle, and the least id reachable, step by step.
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS set
+  FROM w),
+n AS (SELECT doc_id, len(set) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(set) AS x FROM s),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n_shingles + q.n_shingles - shared)),
+r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, n.n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
+"""
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op9_ngram_jaccard": op9_ngram_jaccard, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
+ORACLES = {"op1_url_filter": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}

@@ -15,12 +15,12 @@ an empty list an empty cascade that lists nothing. Extra columns of the input ar
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.llm import bloom
 from sparkweave.llm.common import lower_ascii, stage_table
 
 #: (verdict, rule) of the production list.
@@ -30,8 +30,6 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 #: Words of 64 bits in all levels together, up to which the cascade goes into the plan (4 MiB); beyond it, a join.
 MAX_WORDS = 1 << 19
-HASHES = 4
-BITS_PER_KEY = 6.0
 MAX_LEVELS = 64
 
 
@@ -43,36 +41,9 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), URL, 2)
 
 
-@dataclass(frozen=True)
-class Level:
-    """One Bloom filter: a power of two bits, in 64-bit words."""
-
-    bits: int
-    seed: int
-    words: tuple[int, ...]
-
-    def passes(self, key: Column) -> Column:
-        if not any(self.words):
-            return F.lit(False)
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
-        out = None
-        for p in positions(key, self.bits, self.seed):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            hit = F.getbit(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1
-            out = hit if out is None else out & hit
-        return out
-
-
-def positions(key: Column, bits: int, seed: int) -> list[Column]:
-    """Double hashing: the k bits of a key."""
-    h = F.xxhash64(F.lit(seed), key)
-    a, b = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33).bitwiseOR(F.lit(1))
-    return [(a + F.lit(i) * b).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]
-
-
 @dataclass(frozen=True)
 class Cascade:
-    levels: tuple[Level, ...] = field(default=())
+    levels: tuple[bloom.Bloom, ...] = field(default=())
 
     @property
     def n_words(self) -> int:
@@ -86,29 +57,18 @@ class Cascade:
         return out
 
 
-def _level(keys: DataFrame, n: int, seed: int) -> Level:
-    """keys: one column, key. At most bits / 64 rows come to the driver."""
-    bits = max(64, 1 << math.ceil(math.log2(max(1, n) * BITS_PER_KEY)))
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, seed))).alias("p"))
-    got = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    words = [0] * (bits // 64)
-    for r in got.collect():
-        words[r.w] = r.b
-    return Level(bits, seed, tuple(words))
-
-
 def build_cascade(universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade | None:
     """universe: (key, listed), each key once. None if the levels would outgrow max_words."""
-    levels: list[Level] = []
+    levels: list[bloom.Bloom] = []
     sides = {True: universe.filter("listed").select("key"), False: universe.filter("NOT listed").select("key")}
     side = True
     for seed in range(1, MAX_LEVELS + 1):
         n = sides[side].count()
         if n == 0:
             break
-        if sum(len(x.words) for x in levels) + n * BITS_PER_KEY / 32 > max_words:
+        if sum(len(x.words) for x in levels) + bloom.bits_for(n) / 64 > max_words:
             return None
-        levels.append(_level(sides[side], n, seed))
+        levels.append(bloom.build(sides[side], bloom.bits_for(n), seed))
         sides[not side] = sides[not side].filter(levels[-1].passes(F.col("key")))
         side = not side
     else:

@@ -24,18 +24,48 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             at = to
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; cleared when full, so that it stays small over texts without end."""
+#: Bytes at once while words are hashed.
+_PIECE = 1 << 22
+_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+_LETTERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes that end a word of letters, digits and underscores of ASCII; what UTF-8 has above that counts as letters, but for its punctuation.
+NOT_ALNUM = ~np.isin(np.arange(256), [*b"0123456789abcdefghijklmnopqrstuvwxyz_", *range(0x80, 0x100)])
+FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
 
-    LIMIT = 300_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+class Words:
+    """The words of several UTF-8 texts: 64-bit hashes, and where they are in the joined texts.
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    gap: which bytes are between words. A-Z count as a-z. Everything is vectorised: no word becomes an object.
+    """
+
+    def __init__(self, texts: list[bytes], gap: np.ndarray = BLANK) -> None:
+        self.joined = b" ".join(texts)
+        buf = np.frombuffer(self.joined, np.uint8)
+        out = gap[buf]
+        if gap is NOT_ALNUM and len(buf) > 2:
+            c2 = np.flatnonzero(buf[:-1] == 0xC2)
+            c2 = c2[buf[c2 + 1] < 0xC0]
+            e2 = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x80))
+            out[np.concatenate([c2, c2 + 1, e2, e2 + 1, e2 + 2])] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], out, [True]]).astype(np.int8)))
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.hashes = np.zeros(len(self.starts), np.uint64)
+        letters, at = _LETTERS[FOLDED], 0
+        while at < len(self.starts):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + _PIECE, "right")))
+            s, n = self.starts[at:to], self.ends[at:to] - self.starts[at:to]
+            first = np.cumsum(n) - n
+            inside = np.arange(int(n.sum())) - np.repeat(first, n)
+            bytes_ = buf[inside + np.repeat(s, n)]
+            self.hashes[at:to] = np.add.reduceat(letters[bytes_] * _POWERS[inside & 0xFFFF], first) + n.astype(np.uint64)
+            at = to
+        self.hashes = mix64(self.hashes)
+        size = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(size + 1) - size - 1
+        self.firsts = np.searchsorted(self.starts, begins)
+        self.counts = np.diff(np.append(self.firsts, len(self.starts)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

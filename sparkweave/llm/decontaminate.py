@@ -13,14 +13,13 @@ length are looked up by their words, and the item counts if these agree.
 Documents are only scanned: nothing is shuffled, copies and long texts cost what their length costs. The benchmark
 goes to the tasks in blocks of BLOCK items, one scan for each block.
 
-Words are runs of letters, digits and underscores, in lower case. Edge cases: null or empty texts and items without a
+Words are runs of letters, digits and underscores in lower case (beyond ASCII all but punctuation counts as letters). Edge cases: null or empty texts and items without a
 word match nothing; repeated rows are reported each; repeated items too; a document with several hits of an item
 gives its best (least distance, then first place). Extra columns are not carried.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.arrow import WordHashes, mix64, slices
+from sparkweave.llm.arrow import NOT_ALNUM, Words, mix64, slices
 
 SIMILARITY = 0.8
 BLOCK = 20_000
 TINY, SHORT = 8, 48
-TOKEN = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
@@ -93,18 +91,22 @@ def distance_in(pattern: str, text: str) -> int:
     return best
 
 
+def words_of(text: str) -> list[str]:
+    w = Words([text.encode()], NOT_ALNUM)
+    return [w.joined[a:b].decode() for a, b in zip(w.starts, w.ends, strict=True)]
+
+
 class Index:
     """Signatures of a block of items."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.items = [(i, TOKEN.findall((t or "").lower())) for i, t in items]
+        self.items = [(i, words_of((t or "").lower())) for i, t in items]
         self.items = [(i, w) for i, w in self.items if w]
         self.texts = [" ".join(w) for _, w in self.items]
-        hashes = WordHashes()
         self.tiny: dict[int, dict[int, list[int]]] = {}
         rows: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
         for k, (_, words) in enumerate(self.items):
-            h = np.fromiter((hashes[w.encode()] for w in words), np.uint64, len(words))
+            h = Words([" ".join(words).encode()], NOT_ALNUM).hashes
             if len(words) < TINY:
                 self.tiny.setdefault(len(words), {}).setdefault(int(_sequence(h, len(words))[0]), []).append(k)
                 continue
@@ -157,18 +159,15 @@ def _sequence(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _matches(index: Index, key: str, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     pad = np.zeros(max(w.steps for w in WALKS.values()) + 1, np.uint64)
     for part, texts in slices(batches):
-        words = [TOKEN.findall(t.decode("utf-8", "replace").lower()) for t in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter((hashes[w.encode()] for ws in words for w in ws), np.uint64, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
+        words = Words([t.decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, k, at in sorted(index.candidates(np.concatenate([flat, pad]), starts, lengths)):
+        for d, k, at in sorted(index.candidates(np.concatenate([words.hashes, pad]), words.firsts, words.counts)):
             n, text = len(index.items[k][1]), index.texts[k]
             allowed, slack = int((1 - similarity) * len(text) + 1e-9), n // 4 + 2
-            region = " ".join(words[d][max(0, at - slack) : max(0, at + n + slack)])
+            first, last = words.firsts[d] + max(0, at - slack), words.firsts[d] + min(words.counts[d], at + n + slack) - 1
+            region = " ".join(words_of(words.joined[words.starts[first] : words.ends[last]].decode())) if last >= first else ""
             got = distance_in(text, region)
             if got <= allowed and (d, k) not in best or (d, k) in best and (got, at) < best[d, k]:
                 best[d, k] = (got, at)

@@ -4,14 +4,15 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two sets x, y
 T = 0.8 max(|x|, |y|) shingles. The search never looks at all inverted lists:
 
 1. Divide. In one fixed order (by hash) the first |x| - T + l shingles of both sets share at least l of them, with
-   l = 0.2 |x| of the smaller set, and so at least m = 0.16 |x| whichever of both x is. Of these prefix shingles the
-   long lists are put aside: in the order (list length, hash) all but the last m - 1 are short lists, and a partner
-   occurs in one of them at least. Shingles of one set only have no list; a set with fewer than m shared prefix
-   shingles has no partner at all and drops out, which is what happens to nearly every document.
+   l = 0.2 |x| of the smaller set, and so at least m = 0.16 |x| whichever of both x is. A set of whose prefix fewer
+   than m shingles are in any other prefix has no partner and drops out, which happens to nearly every document.
+   Among the sets that are left all inverted lists are made; a set with fewer than T shared shingles drops out, and
+   of the others the T - 1 longest lists are put aside. A partner occurs in one of the short lists at least.
 2. Merge. The short lists are merged by a Spark aggregation that counts, for a query set and a candidate, the short
    lists both are in. To leave large groups of near copies without all their pairs, a list first pairs its centre
-   (least id) with the others; as components are what is asked, pairs inside one component need no test. Lists that
-   still hold several components are paired off in further rounds, and last with every pair across components.
+   (the set with the least share of shingles of its own) with the others; as components are what is asked, pairs
+   inside one component need no test. Lists that still hold several components are paired off from another centre,
+   and last with every pair across components whose shared shingles could reach the overlap.
 3. Skip. A candidate's sorted array is probed by binary search with the query's remaining shingles, until the
    required overlap is reached or out of reach.
 
@@ -34,27 +35,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm import bloom
-from sparkweave.llm.arrow import WordHashes, mix64, slices
+from sparkweave.llm.arrow import Words, mix64, slices
 from sparkweave.llm.common import stage_table
 
 WIDTH = 5
 STAR_ROUNDS = 2
+#: What both sets could share at most, as no set shares its own shingles, reaches the overlap that J >= 0.8 asks for.
+OVERLAP = "9 * least(n - own, m - o) >= 4 * (n + m)"
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text (UTF-8). bytes.lower() and bytes.split() know ASCII only."""
-    words = [t.lower().split() for t in texts]
-    lengths = [len(w) for w in words]
-    flat = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, sum(lengths))
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (UTF-8)."""
+    words = Words(texts)
+    flat = words.hashes
     full = np.zeros(max(0, len(flat) - WIDTH + 1), np.uint64)
     for j, c in enumerate(_MULTIPLIERS):
         full += flat[j : len(flat) - WIDTH + 1 + j] * c if len(full) else full
     full = mix64(full)
-    out, at = [], 0
-    for n in lengths:
+    out = []
+    for at, n in zip(words.firsts.tolist(), words.counts.tolist(), strict=True):
         if n >= WIDTH:
-            out.append(np.unique(full[at : at + n - WIDTH + 1]))
+            s = np.sort(full[at : at + n - WIDTH + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
         elif n:
             h = np.full(1, n, np.uint64)
             for x in flat[at : at + n]:
@@ -62,7 +65,6 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
-        at += n
     return out
 
 
@@ -71,9 +73,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _classes(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for part, texts in slices(batches):
-        sets = shingle_sets(texts, hashes)
+        sets = shingle_sets(texts)
         yield pa.RecordBatch.from_arrays([part.column(key), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=[key, "sig", "n"])
 
 
@@ -86,9 +87,8 @@ def least_shared(n: Column) -> Column:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for _, texts in slices(batches):
-        sets = {set_id(s): s for s in shingle_sets(texts, hashes) if len(s)}
+        sets = {set_id(s): s for s in shingle_sets(texts) if len(s)}
         first = [s[: prefix_length(len(s))] for s in sets.values()]
         size = [len(p) for p in first]
         yield pa.RecordBatch.from_arrays(
@@ -98,12 +98,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for part, texts in slices(batches):
-        sets = shingle_sets(texts, hashes)
+        sets = shingle_sets(texts)
         yield pa.RecordBatch.from_arrays([part.column(key), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[key, "sig", "set"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+            size = np.array([len(x) for x in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(np.asarray(part.column("sig")), size)), pa.array(np.repeat(size, size))], names=["h", "sig", "n"])
+
+
 def divide_skip(query: np.ndarray, other: np.ndarray, block: int = 64) -> bool:
     """Whether 100 * overlap >= 80 * union: the query's shingles probe the sorted other set by binary search, in blocks,
     until the required overlap is reached or can't be any more."""
@@ -126,15 +134,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def short_lists(docs: DataFrame) -> DataFrame:
-    """(h, sig, n): the short lists that each set is in. docs: (id, text)."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """(sig, n) of the sets that may have a partner, by their prefixes. docs: (id, text). Copies count twice, which
+    only lets more through."""
     rows = docs.select("text").mapInArrow(_prefixes, "h bigint, sig bigint, n int")
-    lists = rows.groupBy("h").agg(F.count("*").alias("length"), F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("h", "length")
+    lists = rows.groupBy("h").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("h")
     lists = stage_table(lists, "jaccard-lists")
-    shared = rows.join(lists, "h").groupBy("sig", "n").agg(F.array_sort(F.collect_set(F.struct("length", "h"))).alias("shared"))
-    m = least_shared(F.col("n"))
-    short = shared.filter(F.size("shared") >= m).withColumn("x", F.explode(F.slice("shared", F.lit(1), F.size("shared") - m + 1)))
-    return stage_table(short.select(F.col("x.h").alias("h"), "sig", "n"), "jaccard-short")
+    shared = rows.join(lists, "h").groupBy("sig", "n").agg(F.count("*").alias("shared"))
+    return stage_table(shared.filter(F.col("shared") >= least_shared(F.col("n"))).select("sig", "n"), "jaccard-candidates")
+
+
+def short_lists(sets: DataFrame) -> DataFrame:
+    """(h, sig, n, own): the short lists that each set is in. own: its shingles that no other set has."""
+    rows = sets.mapInArrow(_shingles, "h bigint, sig bigint, n int")
+    lists = rows.groupBy("h").agg(F.count("*").alias("length")).filter("length > 1")
+    shared = rows.join(lists, "h").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("shared"))
+    need = F.floor((F.col("n") * 4 + 4) / 5).cast("int")
+    short = shared.filter(F.size("shared") >= need).withColumn("x", F.explode(F.slice("shared", F.lit(1), F.size("shared") - need + 1)))
+    return stage_table(short.select(F.col("x.h").alias("h"), "sig", "n", (F.col("n") - F.size("shared")).alias("own")), "jaccard-short")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -175,23 +192,25 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     docs = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     classes = stage_table(docs.mapInArrow(lambda b: _classes(key, b), f"`{key}` {kind}, sig bigint, n bigint"), "jaccard-classes")
-    rows = short_lists(docs)
+    maybe = candidates(docs)
     links = spark.createDataFrame([], "a bigint, b bigint")
-    if not rows.isEmpty():
-        sets = _sets_of(docs, classes, rows.select("sig").distinct(), key)
+    if not maybe.isEmpty():
+        sets = _sets_of(docs, classes, maybe.select("sig"), key)
+        rows = short_lists(sets)
         tested = links
         for turn in range(STAR_ROUNDS + 1):
             root = connected(links) if turn else spark.createDataFrame([], "sig bigint, root bigint")
             left = rows.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-            several = left.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), *([F.min(F.struct(F.xxhash64(F.lit(turn), "sig"), "sig", "n", "root")).alias("c")])).filter("x <> y")
+            # the centre: the set with the least share of its own shingles, which most of its list links with
+            order = F.struct((F.col("own") / F.col("n")).alias("share") if turn == 0 else F.xxhash64(F.lit(turn), "sig").alias("share"), "sig", "n", "own", "root")
+            several = left.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(order).alias("c")).filter("x <> y")
             left = left.join(several.select("h", "c"), "h")
-            sizes = "5 * least(n, m) >= 4 * greatest(n, m)"
             if turn < STAR_ROUNDS:
-                pairs = left.select(F.col("c.sig").alias("p"), F.col("c.n").alias("m"), F.col("c.root").alias("r"), "sig", "n", "root")
+                pairs = left.select(F.col("c.sig").alias("p"), F.col("c.n").alias("m"), F.col("c.own").alias("o"), F.col("c.root").alias("r"), "sig", "n", "own", "root").filter(f"root <> r AND {OVERLAP}")
             else:
-                other = left.select("h", F.col("sig").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"))
-                pairs = left.join(other, "h").filter("sig < p")
-            pairs = pairs.filter("root <> r").filter(sizes).select(F.least("p", "sig").alias("a"), F.greatest("p", "sig").alias("b"))
+                other = left.select("h", F.col("sig").alias("p"), F.col("n").alias("m"), F.col("own").alias("o"), F.col("root").alias("r"))
+                pairs = left.join(other, (left["h"] == other["h"]) & F.expr(f"sig < p AND root <> r AND {OVERLAP}"))
+            pairs = pairs.select(F.least("p", "sig").alias("a"), F.greatest("p", "sig").alias("b"))
             # merged short lists: a row for each candidate, however many of them it is in
             pairs = stage_table(pairs.groupBy("a", "b").agg(F.count("*").alias("occurs")).select("a", "b").join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
             if pairs.isEmpty():

@@ -158,20 +158,25 @@ def _sequence(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _matches(index: Index, key: str, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hits(index: Index, similarity: float, texts: list[bytes]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """((text, item), (distance, first word)) of each text with each item that it contains."""
     pad = np.zeros(max(w.steps for w in WALKS.values()) + 1, np.uint64)
+    words = Words([t.decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for d, k, at in sorted(index.candidates(np.concatenate([words.hashes, pad]), words.firsts, words.counts)):
+        n, text = len(index.items[k][1]), index.texts[k]
+        allowed, slack = int((1 - similarity) * len(text) + 1e-9), n // 4 + 2
+        first, last = words.firsts[d] + max(0, at - slack), words.firsts[d] + min(words.counts[d], at + n + slack) - 1
+        region = " ".join(words_of(words.joined[words.starts[first] : words.ends[last]].decode())) if last >= first else ""
+        got = distance_in(text, region)
+        if got <= allowed and (d, k) not in best or (d, k) in best and (got, at) < best[d, k]:
+            best[d, k] = (got, at)
+    return sorted(best.items())
+
+
+def _matches(index: Index, key: str, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
-        words = Words([t.decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, k, at in sorted(index.candidates(np.concatenate([words.hashes, pad]), words.firsts, words.counts)):
-            n, text = len(index.items[k][1]), index.texts[k]
-            allowed, slack = int((1 - similarity) * len(text) + 1e-9), n // 4 + 2
-            first, last = words.firsts[d] + max(0, at - slack), words.firsts[d] + min(words.counts[d], at + n + slack) - 1
-            region = " ".join(words_of(words.joined[words.starts[first] : words.ends[last]].decode())) if last >= first else ""
-            got = distance_in(text, region)
-            if got <= allowed and (d, k) not in best or (d, k) in best and (got, at) < best[d, k]:
-                best[d, k] = (got, at)
-        found = sorted(best.items())
+        found = _hits(index, similarity, texts)
         keys = part.column(key).take(pa.array([d for (d, _), _ in found], pa.int64()))
         size = [max(1, len(index.texts[k])) for (_, k), _ in found]
         yield pa.RecordBatch.from_arrays(
@@ -180,22 +185,38 @@ def _matches(index: Index, key: str, similarity: float, batches: Iterator[pa.Rec
         )
 
 
+def _clean(index: Index, similarity: float, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in slices(batches, text):
+        keep = np.ones(len(texts), bool)
+        keep[[d for (d, _), _ in _hits(index, similarity, texts)]] = False
+        yield part.filter(pa.array(keep))
+
+
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[Index]:
+    items = []
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text")).toLocalIterator():
+        items.append((r.item_id, r.text))
+        if len(items) == block:
+            yield Index(items)
+            items = []
+    if items:
+        yield Index(items)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The documents that contain no item, with all their columns; one pass for each block of items."""
+    for index in _blocks(benchmark, block):
+        docs = docs.mapInArrow(lambda batches, index=index: _clean(index, similarity, text, batches), docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(key, item_id, first_word, distance, similarity): each document with each item that it contains."""
     scan = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id bigint, first_word bigint, distance int, similarity double"
-    numbered = benchmark.select(F.col("item_id").cast("long"), F.col("text"))
-    out, items = None, []
-
-    def over(items: list) -> DataFrame:
-        index = Index(items)
-        return scan.mapInArrow(lambda batches: _matches(index, key, similarity, batches), schema)
-
-    for r in numbered.toLocalIterator():
-        items.append((r.item_id, r.text))
-        if len(items) == block:
-            out, items = over(items) if out is None else out.unionByName(over(items)), []
-    if items or out is None:
-        out = over(items) if out is None else out.unionByName(over(items))
+    out = None
+    for index in [*_blocks(benchmark, block)] or [Index([])]:
+        part = scan.mapInArrow(lambda batches, index=index: _matches(index, key, similarity, batches), schema)
+        out = part if out is None else out.unionByName(part)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import decontaminate, jaccard, mixing, sharding, url_filter
+from sparkweave.llm import decontaminate, html_text, jaccard, mixing, sharding, toxicity, url_filter
 from sparkweave.llm.common import table, text_crc32, text_size_bytes
 
 
@@ -41,6 +41,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(toxicity.training_fold()))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", (~toxicity.training_fold()).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"), "hits", "quoted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", (text_size_bytes(F.col("text")) + 16).alias("size"), text_crc32(F.col("text")).alias("text_crc32"))
@@ -76,5 +83,9 @@ r(doc_id, root) AS (
 SELECT n.doc_id, n.n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op9_ngram_jaccard": op9_ngram_jaccard, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op10_html_extraction": op10_html_extraction, "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op9_ngram_jaccard": op9_ngram_jaccard, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
 ORACLES = {"op1_url_filter": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from sparkweave.llm import mixing, sharding
+from sparkweave.llm import decontaminate, jaccard, mixing, sharding, toxicity
+from sparkweave.llm.common import row_hash, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the model takes for toxic go."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(toxicity.training_fold()))
+    return toxicity.reject(docs, model)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Of each component of near copies the document with the least id stays; of rows with that id, one."""
+    found = jaccard.components(docs)
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    first = Window.partitionBy("doc_id").orderBy(F.col("tie"))
+    tied = rest.select(F.struct("*").alias("doc"), "doc_id", row_hash(rest).alias("tie"))
+    return tied.withColumn("i", F.row_number().over(first)).filter("i = 1").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut or repeated to their targets."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its shard and its place in it."""
     return sharding.shuffle_documents(docs, "doc_id", shards=40)

@@ -145,13 +145,13 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def short_lists(sets: DataFrame) -> DataFrame:
-    """(h, sig, n, own): the short lists that each set is in. own: its shingles that no other set has."""
+    """(length, h, sig, n, own): the short lists that each set is in. own: its shingles that no other set has."""
     rows = sets.mapInArrow(_shingles, "h bigint, sig bigint, n int")
     lists = rows.groupBy("h").agg(F.count("*").alias("length")).filter("length > 1")
     shared = rows.join(lists, "h").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("shared"))
     need = F.floor((F.col("n") * 4 + 4) / 5).cast("int")
     short = shared.filter(F.size("shared") >= need).withColumn("x", F.explode(F.slice("shared", F.lit(1), F.size("shared") - need + 1)))
-    return stage_table(short.select(F.col("x.h").alias("h"), "sig", "n", (F.col("n") - F.size("shared")).alias("own")), "jaccard-short")
+    return stage_table(short.select(F.col("x.length").alias("length"), F.col("x.h").alias("h"), "sig", "n", (F.col("n") - F.size("shared")).alias("own")), "jaccard-short")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -208,8 +208,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             if turn < STAR_ROUNDS:
                 pairs = left.select(F.col("c.sig").alias("p"), F.col("c.n").alias("m"), F.col("c.own").alias("o"), F.col("c.root").alias("r"), "sig", "n", "own", "root").filter(f"root <> r AND {OVERLAP}")
             else:
-                other = left.select("h", F.col("sig").alias("p"), F.col("n").alias("m"), F.col("own").alias("o"), F.col("root").alias("r"))
-                pairs = left.join(other, (left["h"] == other["h"]) & F.expr(f"sig < p AND root <> r AND {OVERLAP}"))
+                # a pair comes up in the first list only that both are in
+                left = stage_table(left.select("length", "h", "sig", "n", "own", "root"), "jaccard-left")
+                mine = left.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("lists"))
+                left = left.join(mine, "sig").withColumn("before", F.transform(F.filter("lists", lambda x: x < F.struct("length", "h")), lambda x: x["h"])).drop("lists")
+                other = left.select("h", F.col("sig").alias("p"), F.col("n").alias("m"), F.col("own").alias("o"), F.col("root").alias("r"), F.col("before").alias("earlier"))
+                pairs = left.join(other, (left["h"] == other["h"]) & F.expr(f"sig < p AND root <> r AND {OVERLAP} AND NOT arrays_overlap(before, earlier)"))
             pairs = pairs.select(F.least("p", "sig").alias("a"), F.greatest("p", "sig").alias("b"))
             # merged short lists: a row for each candidate, however many of them it is in
             pairs = stage_table(pairs.groupBy("a", "b").agg(F.count("*").alias("occurs")).select("a", "b").join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")

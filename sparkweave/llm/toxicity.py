@@ -123,7 +123,8 @@ class Model:
         """(log of the windows' sum, best window, log of the sum for each 100 words, hits, share of quoted hits)."""
         words = text.lower().split()
         look, known = self.lookup, self._found
-        hits = [i for i, w in enumerate(words) if (known[w] if w in known else look(w)) is not None]
+        found = [known[w] if w in known else look(w) for w in words]
+        hits = [i for i, x in enumerate(found) if x is not None]
         if not hits:
             return 0.0, 0.0, 0.0, 0, 0.0
         total, best, quoted = 0.0, 0.0, 0
@@ -135,7 +136,7 @@ class Model:
             after = sum(c in QUOTES for w in words[i + 1 : hi] for c in w)
             quote = len(marks) > 0 and (words[i][0] in QUOTES or words[i][-1] in QUOTES) or before % 2 == 1 and after >= 1
             others = sum(1 for k in hits[max(0, n - WINDOW) : n + WINDOW + 1] if k != i and abs(k - i) <= WINDOW)
-            term, edits = known[words[i]]
+            term, edits = found[i]
             s = self.weight[term] * (1.0 if edits == 0 else 0.8)
             s *= 0.2 if quote else 1.0
             s *= 0.6 if not REPORTING.isdisjoint(near) else 1.0

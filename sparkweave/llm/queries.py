@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import decontaminate, html_text, jaccard, mixing, sharding, toxicity, url_filter
+from sparkweave.llm import decontaminate, html_text, jaccard, media, mixing, sharding, surrogates, toxicity, url_filter, wavelet
 from sparkweave.llm.common import table, text_crc32, text_size_bytes
 
 
@@ -41,6 +41,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = media.media_columns(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = wavelet.write_shards(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return wavelet.read_documents(files)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(toxicity.training_fold()))
@@ -48,6 +60,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (~toxicity.training_fold()).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"), "hits", "quoted")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", (text_size_bytes(F.col("text")) + 16).alias("size"), text_crc32(F.col("text")).alias("text_crc32"))
@@ -87,5 +103,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op10_html_extraction": op10_html_extraction, "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op9_ngram_jaccard": op9_ngram_jaccard, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
+QUERIES = {"op3_media_columns": op3_media_columns, "op6_token_shards": op6_token_shards, "op7_pii_surrogates": op7_pii_surrogates, "op4_toxicity": op4_toxicity, "op10_html_extraction": op10_html_extraction, "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op9_ngram_jaccard": op9_ngram_jaccard, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
 ORACLES = {"op1_url_filter": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}

@@ -127,22 +127,26 @@ def _store_special(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def store(docs: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Write the chunk store of all media of docs (key, text) and return it as read back."""
-    owners = index.groupBy("medium").agg(F.min(key).alias("owner"), F.count("*").alias("copies"), F.first("digests").alias("digests"))
-    refs = owners.select("medium", "owner", F.posexplode("digests").alias("at", "digest"))
-    several = stage_table(refs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("owner", "medium", "at")).alias("first")).filter("n > 1").select("digest", "first"), "media-shared")
-    where = refs.join(several, "digest")
-    is_first = (F.col("first.medium") == F.col("medium")) & (F.col("first.at") == F.col("at"))
-    roles = where.groupBy("medium", "owner").agg(F.sort_array(F.collect_list("at")).alias("away"), F.sort_array(F.collect_list(F.when(is_first, F.col("at")))).alias("mine"))
-    roles = roles.select("medium", F.col("owner").alias(key), "away", "mine", F.lit(False).alias("skip"))
-    copies = index.join(owners.filter("copies > 1").select("medium", "owner"), "medium")
+    # what moves are short ids: half a digest for a chunk, a hash for a medium beside its owner's id
+    short = index.select(key, F.xxhash64("medium").alias("m"), F.transform("digests", lambda d: F.substring(d, 1, 16)).alias("ids"))
+    owners = short.groupBy("m").agg(F.min(key).alias("owner"), F.count("*").alias("copies"))
+    several_copies = stage_table(owners.filter("copies > 1").select("m", "owner"), "media-copies")
+    copied = short.select(key, "m").join(several_copies, "m")
+    copied = stage_table(copied.select(key, "m", (F.col(key) != F.col("owner")).alias("skip")).groupBy(key, "m").agg(F.min("skip").alias("skip")), "media-copied")
+    later = copied.filter("skip").select(key, "m")
+    kept = short.join(later, [key, "m"], "left_anti").select(F.col(key).alias("owner"), "m", F.posexplode("ids").alias("at", "id"))
+    several = stage_table(kept.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("owner", "m", "at")).alias("first")).filter("n > 1").select("id", "first"), "media-shared")
+    where = kept.join(several, "id")
+    is_first = (F.col("first.owner") == F.col("owner")) & (F.col("first.m") == F.col("m")) & (F.col("first.at") == F.col("at"))
+    roles = where.groupBy(F.col("owner").alias(key), "m").agg(F.sort_array(F.collect_set("at")).alias("away"), F.sort_array(F.collect_set(F.when(is_first, F.col("at")))).alias("mine"))
     none = F.lit(None).cast("array<int>")
-    copies = copies.select("medium", key, none.alias("away"), none.alias("mine"), (F.col(key) != F.col("owner")).alias("skip"))
-    plan = stage_table(roles.unionByName(copies).groupBy("medium", key).agg(F.max("away").alias("away"), F.max("mine").alias("mine"), F.max("skip").alias("skip")), "media-plan")
+    plan = roles.withColumn("skip", F.lit(False)).unionByName(copied.select(key, "m", none.alias("away"), none.alias("mine"), "skip"))
+    plan = stage_table(plan.groupBy(key, "m").agg(F.max("away").alias("away"), F.max("mine").alias("mine"), F.max("skip").alias("skip")), "media-plan")
     special = bloom.build(plan.select(key), bloom.PREFILTER_BITS).passes(F.coalesce(F.col(key), F.lit(0)))
     alone = docs.filter(~special).select("text").mapInArrow(_store_alone, STORE)
     kind = docs.schema[key].dataType.simpleString()
-    named = docs.filter(special).mapInArrow(lambda b: _named(key, b), f"`{key}` {kind}, medium binary, text binary")
-    met = named.join(plan, [key, "medium"], "left").filter("skip IS NULL OR NOT skip").dropDuplicates([key, "medium"])
+    named = docs.filter(special).mapInArrow(lambda b: _named(key, b), f"`{key}` {kind}, medium binary, text binary").withColumn("m", F.xxhash64("medium"))
+    met = named.drop("medium").join(plan, [key, "m"], "left").filter("skip IS NULL OR NOT skip").dropDuplicates([key, "m"])
     return stage_table(alone.unionByName(met.mapInArrow(_store_special, STORE)), "media-store")
 
 

@@ -160,10 +160,15 @@ def _candidates(text: str) -> set[tuple[str, bool]]:
 def learn_terms(rows: list[tuple[str, int]], need: int = 3) -> list[tuple[str, bool, float]]:
     """Greedy cover: terms of toxic texts that clean ones hardly have, until each toxic text has ``need`` of them.
     A term comes with its weight: the log of how much more frequent it is in toxic texts, 1 at most."""
-    toxic = [_candidates(t) for t, y in rows if y]
-    n_clean = sum(not y for _, y in rows)
+    texts = [t for t, y in rows if y]
+    n_clean = len(rows) - len(texts)
+    least = max(3, round(0.01 * len(texts)))
+    rough = np.zeros(1 << 22, np.int32)  # counts by hash first: most candidates occur once and need no table of their own
+    for t in texts:
+        for c in _candidates(t):
+            rough[hash(c) & 0x3FFFFF] += 1
+    toxic = [{c for c in _candidates(t) if rough[hash(c) & 0x3FFFFF] >= least} for t in texts]
     seen: Counter = Counter(c for x in toxic for c in x)
-    least = max(3, round(0.01 * len(toxic)))
     seen = Counter({c: k for c, k in seen.items() if k >= least})
     clean: Counter = Counter(c for t, y in rows if not y for c in _candidates(t) & seen.keys())
     per = len(toxic) / max(1, n_clean)

@@ -8,8 +8,8 @@ alphabet, the documents' ids and starts, and the planes, each compressed by zstd
 Documents are range-partitioned and sorted by id; each task writes shards of about SHARD_TOKENS ids in order, as rows
 of a Parquet table in the shared folder, so any store that Spark writes will do. A text longer than that makes its
 own shard. Texts are encoded by the tokenizers library; as its pre-tokenizer always splits before a blank that is
-followed by a non-blank, units of one blank and a word are encoded once and remembered, in bounded memory; texts with
-runs of blanks are encoded whole.
+followed by a non-blank, units of one blank or line end and a word are encoded once and remembered, in bounded memory; texts
+with runs of white space are encoded whole.
 
 Edge cases: null and empty texts have only the end id; equal document ids stay together, in order of their text;
 repeated rows are encoded each; a null document id counts as the least and is returned; an empty table gives an empty
@@ -19,6 +19,7 @@ result. Extra columns are not carried.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -167,10 +168,13 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
 
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 class Encoder:
     """Ids of texts by a tokenizer's file, the end id included."""
 
-    UNITS = 400_000
+    UNITS = 1_000_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -178,6 +182,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: Whether a text has no white space but blanks and line ends.
+        self.plain = lambda t: not _OTHER_SPACE.search(t)
         self._forget()
 
     def _forget(self) -> None:
@@ -187,31 +194,46 @@ class Encoder:
         self.full = 0
 
     def _learn(self, units: list[str]) -> None:
-        """Encode what is new. Units are words after a blank; with "\\n" in front, words that begin a text."""
-        for start in range(0, len(units), 4096):
-            part = units[start : start + 4096]
-            got = self.tokenizer.encode_batch_fast([u[1:] if u[0] == "\n" else " " + u for u in part], add_special_tokens=False)
-            for u, e in zip(part, got, strict=True):
-                ids, k = e.ids, len(self.at)
-                while self.full + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if k + 2 > len(self.first):
-                    self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                self.ids[self.full : self.full + len(ids)] = ids
-                self.full += len(ids)
-                self.at[u] = k
-                self.first[k + 1] = self.full
+        """Encode what is new. A unit is a word after a blank; with "\n" in front, one after a line's end; with "\0", one
+        that begins a text. Line ends have a token of their own, so many units are encoded in one text of many lines."""
+        apart = [u for u in units if u in ("\n", "\0") or len(u[u[0] in "\n\0" :].split()) != 1 or u[u[0] in "\n\0" :].split()[0] != u[u[0] in "\n\0" :]]
+        odd = set(apart)
+        lines = [u for u in units if u not in odd]
+        for start in range(0, len(lines), 4096):
+            part = lines[start : start + 4096]
+            text = "\n".join(u[1:] if u[0] in "\n\0" else " " + u for u in part)
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(got == self.newline), len(got))
+            assert len(ends) == len(part)
+            for u, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                self._keep(u, got[a:b])
+        for u, e in zip(apart, self.tokenizer.encode_batch_fast([u[1:] if u[0] in "\n\0" else " " + u for u in apart], add_special_tokens=False) if apart else [], strict=True):
+            self._keep(u, np.array(e.ids, np.uint32))
+
+    def _keep(self, unit: str, ids: np.ndarray) -> None:
+        k, line = len(self.at), unit[0] == "\n"
+        n = len(ids) + line
+        while self.full + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if k + 2 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        if line:
+            self.ids[self.full] = self.newline
+        self.ids[self.full + line : self.full + n] = ids
+        self.full += n
+        self.at[unit] = k
+        self.first[k + 1] = self.full
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text), each text closed by END."""
         split, whole = [], []
         for n, t in enumerate(texts):
-            units = t.split(" ")
-            if "" in units or any(u[0].isspace() for u in units):
+            units = t.replace("\n", " \n").split(" ")
+            if not t or "\0" in t or "  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[0].isspace() or t[-1].isspace() or not self.plain(t) and any(u[u[0] == "\n" :][:1].isspace() for u in units):
                 whole.append(n)
                 split.append([])
             else:
-                units[0] = "\n" + units[0]
+                units[0] = "\0" + units[0]
                 split.append(units)
         if len(self.at) > self.UNITS:
             self._forget()

@@ -2,9 +2,8 @@
 
 A medium is cut where a rolling gear hash over the last 32 bytes has its top bits zero, between MIN and MAX bytes
 after the last cut, so equal passages give equal chunks wherever they are. Chunks are known by their SHA-256. Only
-digests move to find which chunks occur more than once: these go to the store once, by their digest; all others stay
-in the row of their medium. The store holds, for each distinct medium, the ordered list of chunk digests with the
-chunks of its own, and a row for each shared chunk. Reading back joins shared chunks to the lists that name them,
+digests move to find which chunks occur more than once: these are stored once, in the row of the medium that has them
+first. The store holds, for each distinct medium, the ordered list of chunk digests with the chunks it keeps. Reading back joins shared chunks to the lists that name them,
 puts the chunks together in order and verifies every digest and the medium's. Media without shared chunks and without
 copies, most of them, are written and read in place: a Bloom filter of fixed size tells them apart, and what it lets
 through wrongly takes the join and comes out the same.
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,31 +97,29 @@ def _index(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(t) for t in texts], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.binary()))], names=[key, "n_bytes", "medium", "digests"])
 
 
-STORE = "medium binary, digests array<binary>, inline array<binary>, shared boolean"
-_STORE = pa.schema([("medium", pa.binary()), ("digests", pa.list_(pa.binary())), ("inline", pa.list_(pa.binary())), ("shared", pa.bool_())])
+STORE = "medium binary, digests array<binary>, inline array<binary>, mine array<int>, shared boolean"
+_STORE = pa.schema([("medium", pa.binary()), ("digests", pa.list_(pa.binary())), ("inline", pa.list_(pa.binary())), ("mine", pa.list_(pa.int32())), ("shared", pa.bool_())])
 
 
-def _store_row(medium: bytes, digests: list[bytes], parts: list[bytes], away: set[int]) -> dict:
-    return {"medium": medium, "digests": digests, "inline": [None if i in away else p for i, p in enumerate(parts)], "shared": bool(away)}
+def _store_row(medium: bytes, digests: list[bytes], parts: list[bytes], away: set[int], mine: list[int]) -> dict:
+    return {"medium": medium, "digests": digests, "inline": [None if i in away else p for i, p in enumerate(parts)], "mine": mine, "shared": bool(away)}
 
 
 def _store_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in slices(batches):
-        yield pa.RecordBatch.from_pylist([_store_row(*g, set()) for g in chunks([encode(payload_of(t)) for t in texts])], schema=_STORE)
+        yield pa.RecordBatch.from_pylist([_store_row(*g, set(), []) for g in chunks([encode(payload_of(t)) for t in texts])], schema=_STORE)
 
 
 def _named(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(key), pa.array([hashlib.sha256(encode(payload_of(t))).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=[key, "medium", "text"])
+        yield pa.RecordBatch.from_arrays([part.column(key), pa.array([hashlib.sha256(encode(payload_of(t))).digest() for t in texts], pa.binary()), pa.array([zstandard.ZstdCompressor().compress(t) for t in texts], pa.binary())], names=[key, "medium", "text"])
 
 
 def _store_special(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the store; a shared chunk's row has no digests, and its bytes as the only inline part."""
+    """Rows of the store: the chunk that others share stays in the row that has it first (mine)."""
     for part, texts in slices(batches):
-        rows = []
-        for (medium, digests, parts), away, mine in zip(chunks([encode(payload_of(t)) for t in texts]), part.column("away").to_pylist(), part.column("mine").to_pylist(), strict=True):
-            rows.append(_store_row(medium, digests, parts, set(away or ())))
-            rows.extend({"medium": digests[i], "digests": None, "inline": [parts[i]], "shared": False} for i in mine or ())
+        texts = [zstandard.ZstdDecompressor().decompress(t) for t in texts]
+        rows = [_store_row(*g, set(away or ()) - set(mine or ()), mine or []) for g, away, mine in zip(chunks([encode(payload_of(t)) for t in texts]), part.column("away").to_pylist(), part.column("mine").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pylist(rows, schema=_STORE)
 
 
@@ -188,11 +186,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(stored: DataFrame) -> DataFrame:
     """FEATURES of every medium in the store."""
-    lists = stored.filter("digests IS NOT NULL")
-    whole = lists.filter("NOT shared").select("medium", "digests", "inline").mapInArrow(_read, FEATURES)
-    apart = lists.filter("shared")
+    whole = stored.filter("NOT shared").select("medium", "digests", "inline").mapInArrow(_read, FEATURES)
+    apart = stored.filter("shared")
     wanted = apart.select("medium", F.posexplode(F.arrays_zip("digests", "inline")).alias("at", "x")).filter("x.inline IS NULL").select("medium", "at", F.col("x.digests").alias("digest"))
-    shared = stored.filter("digests IS NULL").select(F.col("medium").alias("digest"), F.get("inline", F.lit(0)).alias("bytes"))
+    shared = stored.filter("size(mine) > 0").select(F.explode("mine").alias("i"), "digests", "inline").select(F.get("digests", F.col("i")).alias("digest"), F.get("inline", F.col("i")).alias("bytes"))
     fetched = wanted.join(shared, "digest").groupBy("medium").agg(F.collect_list(F.struct("at", "bytes")).alias("fetched"))
     return whole.unionByName(apart.select("medium", "digests", "inline").join(fetched, "medium", "left").mapInArrow(_read, FEATURES))
 

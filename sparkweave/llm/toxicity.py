@@ -9,7 +9,7 @@ WINDOW words around it: quotation marks around the hit and words of reporting we
 address in the window strengthen it. A logistic model over the windows' sums gives the document's score.
 
 The sample for fitting is bounded by SAMPLE_TOXIC and SAMPLE_CLEAN rows of at most SAMPLE_CHARS characters, the least
-by hash of their id; only it comes to the driver. Every document is scored, whole, in one pass over the table.
+by hash of their id; one task fits it, and only the model comes to the driver. Every document is scored, whole, in one pass over the table.
 
 Edge cases: null and empty texts have no hit and get the model's score for none; labels that are null are not used,
 of an id's several labels the highest counts; without toxic or clean labels the lexicon is empty and every score is
@@ -18,6 +18,7 @@ the prior; repeated rows are scored each. Extra columns are not carried.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -232,7 +233,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     some = [known.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.length("t") <= SAMPLE_CHARS).join(chosen, "k").select("k", "t", "y").dropDuplicates(["k"])
-    return fit_rows([(r.t, r.y) for r in sorted(texts.collect(), key=lambda r: r.k)])
+    (got,) = texts.repartition(1).mapInArrow(_fit, "model string").collect()  # one task for the bounded sample
+    terms, harmless, weights = json.loads(got.model)
+    return Model(tuple(map(tuple, terms)), frozenset(harmless), tuple(weights))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("k", "t", "y")), strict=True))
+    m = fit_rows([(t, y) for _, t, y in rows])
+    yield pa.RecordBatch.from_pydict({"model": [json.dumps([m.terms, sorted(m.harmless), m.weights])]})
 
 
 def _score(key: str, model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

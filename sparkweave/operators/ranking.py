@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-LIST = Window.partitionBy("query_id")
+def of_list() -> WindowSpec:
+    """The candidates of one query."""
+    return Window.partitionBy("query_id")
+
 
 #: Weights of the two-stage blend by kind of query (vector, species, source, diversity).
 WEIGHTS = {"default": (0.70, 0.05, 0.15, 0.0), "specific": (0.80, 0.05, 0.10, 0.05), "general": (0.65, 0.05, 0.15, 0.15), "ambiguous": (0.70, 0.05, 0.15, 0.10)}
@@ -20,21 +23,21 @@ DEFAULTS = {"image_quality": 0.8, "temporal_score": 0.5, "diversity_score": 0.5,
 
 
 def min_max(score: Column, constant: Column | float) -> Column:
-    lo, hi = F.min(score).over(LIST), F.max(score).over(LIST)
+    lo, hi = F.min(score).over(of_list()), F.max(score).over(of_list())
     return F.when(hi > lo, (score - lo) / (hi - lo)).otherwise(constant if isinstance(constant, Column) else F.lit(float(constant)))
 
 
 def tempered_softmax(distance: Column) -> Column:
     """exp(-d / T) over the list; T is a quarter of the interquartile range."""
-    iqr = F.percentile(distance, 0.75).over(LIST) - F.percentile(distance, 0.25).over(LIST)
+    iqr = F.percentile(distance, 0.75).over(of_list()) - F.percentile(distance, 0.25).over(of_list())
     t = F.greatest(F.greatest(iqr, F.lit(1e-6)) * 0.25, F.lit(1e-6))
-    e = F.exp(-(distance - F.min(distance).over(LIST)) / t)
-    return e / (F.sum(e).over(LIST) + 1e-9)
+    e = F.exp(-(distance - F.min(distance).over(of_list())) / t)
+    return e / (F.sum(e).over(of_list()) + 1e-9)
 
 
 def idf_prior(count: Column) -> Column:
     """log1p(max / count) over the list's species, min-max, to the power 0.3; 0.5 if constant."""
-    raw = F.log1p(F.max(count).over(LIST) / count)
+    raw = F.log1p(F.max(count).over(of_list()) / count)
     return F.pow(min_max(raw, 0.5), F.lit(0.3))
 
 

@@ -252,14 +252,14 @@ _ROCCHIO = """j AS (SELECT (user_id % 40) * 20 AS query_id, event_id % 397 AS fi
   o AS (SELECT file_id AS query_id, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS e FROM vec WHERE file_id % 20 = 0),
   y AS (SELECT o.query_id, o.i, o.e, s.query_id IS NOT NULL AS seen, o.e + 0.75::DOUBLE * coalesce(good, 0) - 0.15::DOUBLE * coalesce(bad, 0) AS y FROM o LEFT JOIN m ON m.query_id = o.query_id AND m.i = o.i LEFT JOIN (SELECT DISTINCT query_id FROM m) s ON s.query_id = o.query_id),
   n AS (SELECT *, sqrt(sum(y * y) OVER (PARTITION BY query_id)) AS n FROM y)
-  SELECT query_id, i, round(round(CASE WHEN seen AND n > 0 THEN y / n ELSE e END, 6), 5) AS x FROM n"""
+  SELECT query_id, i, round(CASE WHEN seen AND n > 0 THEN y / n ELSE e END, 6) AS x FROM n"""
 
 
 @query("rocchio_refine", _ROCCHIO)
 def _(spark, d):
     raw = spark.read.parquet(f"{d}/events.parquet").selectExpr("(user_id % 40) * 20 AS query_hash", f"{FEEDBACK['file_id']} AS file_id", f"{FEEDBACK['feedback_type']} AS feedback_type")
     judged = feedback.judgments(raw).withColumnRenamed("query_hash", "query_id")
-    return feedback.refine(asked(spark, d), judged, corpus(spark, d)).withColumn("x", F.round("x", 5))
+    return feedback.refine(asked(spark, d), judged, corpus(spark, d))
 
 
 # --- ranking ----------------------------------------------------------------------------------------------------------
@@ -398,7 +398,7 @@ def _(spark, d):
 
 def explained(spark: SparkSession, d: str) -> DataFrame:
     x = hits(spark, d)
-    c = explain.confidence(F.col("score"), F.col("rank") - 1, F.count("*").over(ranking.LIST), F.col("n"), F.when(F.col("source") == "lab", 1.0).otherwise(0.7))
+    c = explain.confidence(F.col("score"), F.col("rank") - 1, F.count("*").over(ranking.of_list()), F.col("n"), F.when(F.col("source") == "lab", 1.0).otherwise(0.7))
     return x.withColumn("confidence", F.round(c, 6))
 
 
@@ -418,7 +418,7 @@ def _(spark, d):
 @query("flagship_search", f"{_BLEND}, kk AS (SELECT query_id, file_id, confidence FROM ({_CONF.replace('x AS (', 'WITH x2 AS (SELECT 1), x AS (', 1)} SELECT query_id, file_id, confidence FROM k)) SELECT f.query_id, f.place, f.file_id, f.species, f.source, f.final, kk.confidence FROM f JOIN kk USING (query_id, file_id) WHERE place <= 10")
 def _(spark, d):
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "file_id")).cast("long")
-    c = explain.confidence(F.col("score"), F.col("rank") - 1, F.count("*").over(ranking.LIST), F.col("n"), F.when(F.col("source") == "lab", 1.0).otherwise(0.7))
+    c = explain.confidence(F.col("score"), F.col("rank") - 1, F.count("*").over(ranking.of_list()), F.col("n"), F.when(F.col("source") == "lab", 1.0).otherwise(0.7))
     return blended(spark, d).withColumn("confidence", F.round(c, 6)).withColumn("place", place).filter("place <= 10").select("query_id", "place", "file_id", "species", "source", "final", "confidence")
 
 

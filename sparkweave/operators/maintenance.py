@@ -43,8 +43,8 @@ def slug(name: Column) -> Column:
 
 
 def next_numbers(names: DataFrame, folder: str, name: str) -> DataFrame:
-    """(folder, next): greatest number in ``id-number.ext`` plus one."""
-    number = F.expr(f"try_cast(nullif(regexp_extract(`{name}`, '-([0-9]+)[.]', 1), '') AS bigint)")
+    """(folder, next): greatest sequence in ``id-sequence-number.ext`` plus one; other names are skipped."""
+    number = F.expr(f"try_cast(nullif(regexp_extract(`{name}`, '^[^-]*-([0-9]+)-[^/]*[.]', 1), '') AS bigint)")
     return names.groupBy(folder).agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next"))
 
 
@@ -57,3 +57,54 @@ def weighted_sample(rows: DataFrame, key: str, weight: Column, size: int, seed:
     """Without replacement (Efraimidis-Spirakis), by keys from a hash."""
     u = (F.conv(F.substring(hash_order(F.col(key), F.lit(seed)), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16**12 + 1))
     return rows.withColumn("k", -F.log(u) / weight).orderBy("k", key).limit(size).drop("k")
+
+
+CHANGE = "change_id bigint, ts timestamp, operation string, file_id bigint, species string, image_path string"
+
+
+def apply_changes(items: DataFrame, changes: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
+    """(items after, log) for (change_id, operation, key, species, image_path): add, update or delete.
+
+    Of several changes to a key, the last counts. Null fields of a change keep what was there. An update or deletion of
+    an unknown key fails and is logged so; an add of a known key updates it. embed says which rows need a new vector:
+    new ones, and those whose path changed.
+    """
+    last = changes.groupBy(key).agg(F.max_by(F.struct("change_id", "operation", "species", "image_path"), "change_id").alias("x")).select(key, "x.*")
+    old = items.select(key, F.col("species").alias("o_species"), F.col("image_path").alias("o_path"), F.lit(True).alias("known"))
+    x = old.join(last, key, "full")
+    known, op = F.col("known").isNotNull(), F.col("operation")
+    after = x.filter((known & (op.isNull() | (op != "delete"))) | (~known & (op == "add")))
+    path = F.coalesce("image_path", "o_path")
+    after = after.select(key, F.coalesce("species", "o_species").alias("species"), path.alias("image_path"), (~known | ~path.eqNullSafe(F.col("o_path"))).alias("embed"))
+    logged = x.filter(op.isNotNull()).select("change_id", key, "operation", (known | (op == "add")).alias("success"))
+    return after, logged
+
+
+def change_stats(log: DataFrame) -> DataFrame:
+    """(total, succeeded, failed, added, updated, deleted)."""
+    good = F.col("success")
+    return log.agg(F.count("*").alias("total"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), *[F.count_if(good & (F.col("operation") == o)).alias(n) for o, n in (("add", "added"), ("update", "updated"), ("delete", "deleted"))])
+
+
+def recent(log: DataFrame, operation: str, limit: int) -> DataFrame:
+    """The newest changes of a kind."""
+    return log.filter(F.col("operation") == operation).orderBy(F.desc("change_id")).limit(limit)
+
+
+def file_name(species: Column, month: Column, sequence: Column, number: Column, extension: str = "jpg") -> Column:
+    """Initials of up to four words, year and month, sequence, number: ``ab202401-01-1.jpg``."""
+    initials = F.array_join(F.slice(F.transform(F.filter(F.split(slug(species), "_"), lambda p: p != ""), lambda p: F.substring(p, 1, 1)), 1, 4), "")
+    padded = F.when(F.length(sequence.cast("string")) < 2, F.lpad(sequence.cast("string"), 2, "0")).otherwise(sequence.cast("string"))
+    return F.concat(initials, month, F.lit("-"), padded, F.lit("-"), number.cast("string"), F.lit("." + extension))
+
+
+def folder_stats(paths: DataFrame, path: str) -> DataFrame:
+    """(folder, source, images, segmented) of ``.../<source>/<folder>/<name>.<jpg or png>``."""
+    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+[.]([^./]+)$", i)
+    return paths.groupBy(part(2).alias("folder"), part(1).alias("source")).agg(F.count_if(part(3) == "jpg").alias("images"), F.count_if(part(3) == "png").alias("segmented"))
+
+
+def broken_rules(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
+    """(key, rule) for every rule (a condition in SQL) that a row breaks; null passes, as in a table's constraints."""
+    broken = F.array_compact(F.array(*[F.when(~F.expr(c), F.lit(n)) for n, c in rules.items()]))
+    return rows.select(key, F.explode(broken).alias("rule"))

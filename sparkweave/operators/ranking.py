@@ -173,3 +173,18 @@ def evaluate(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg(F.col("e") * F.col("e")), 6).alias("mse"), F.round(F.avg(F.abs("e")), 6).alias("mae"),
         F.round(F.coalesce(F.try_divide(F.sum("g"), F.sum("i")), F.lit(0.0)), 6).alias("ndcg"), F.round(F.corr("rs", "rl"), 6).alias("spearman"),
     )
+
+
+def interpolate(candidates: DataFrame, k: int = 10, query: str = "query_id", key: str = "file_id") -> DataFrame:
+    """(query, key, final): what a re-ranked sample says about the rest of each list.
+
+    candidates: (query, key, score, reranked), reranked null outside the sample. The others take the mean of the k
+    samples nearest by score, weighted by nearness; ties go to the lesser key. Without samples the score stays.
+    Lists are short (top-k of a search), so a list's samples are an array of its row.
+    """
+    samples = candidates.filter("reranked IS NOT NULL").groupBy(query).agg(F.collect_list(F.struct("score", key, "reranked")).alias("samples"))
+    near = F.slice(F.array_sort(F.transform("samples", lambda s: F.struct(F.abs(F.col("score") - s["score"]).alias("d"), s[key].alias("k"), s["reranked"].alias("r")))), 1, k)
+    weight = F.aggregate(near, F.lit(0.0), lambda a, s: a + 1 / (s["d"] + 1e-8))
+    mean = F.aggregate(near, F.lit(0.0), lambda a, s: a + s["r"] / (s["d"] + 1e-8)) / weight
+    x = candidates.join(samples, query, "left")
+    return x.select(query, key, F.coalesce("reranked", F.when(F.size("samples") > 0, mean), "score").alias("final"))

@@ -36,3 +36,63 @@ def load_index(spark: SparkSession, path: str, metric: str) -> DataFrame:
     if rows.filter(F.col("metric") == metric).isEmpty():
         raise ValueError(f"the index isn't one for {metric}")
     return rows.filter(F.col("metric") == metric).drop("metric")
+
+
+SPLIT = "file_id bigint, image_path string, species string, source string, segmented_path string"
+
+
+def write_splits(rows: DataFrame, path: str) -> None:
+    """(SPLIT columns, split) as one folder of CSV files a split."""
+    for name in ("train", "val", "test"):
+        rows.filter(F.col("split") == name).select(*[c.split()[0] for c in SPLIT.split(", ")]).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.option("header", True).schema(SPLIT).csv(f"{path}/{name}")
+
+
+def save_model(spark: SparkSession, weights: dict[str, float], algorithm: str, path: str) -> None:
+    spark.createDataFrame([(algorithm, weights)], "algorithm string, weights map<string, double>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[str, dict[str, float]]:
+    row = spark.read.schema("algorithm string, weights map<string, double>").json(path).first()
+    if row is None:
+        raise ValueError("no model there")
+    return row.algorithm, dict(row.weights)
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """One row of metrics as JSON."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def existing(rows: DataFrame, files: DataFrame, path: str = "image_path") -> DataFrame:
+    """Rows whose file is in the listing."""
+    return rows.join(files.select(F.col("path").alias(path)), path, "left_semi")
+
+
+#: First bytes of the formats that are taken.
+MAGIC = {"JPEG": "FFD8FF", "PNG": "89504E47"}
+
+
+def upload(files: DataFrame, known: DataFrame, month: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) of uploads (upload_id, species, source, content).
+
+    known: (folder, name) of the files there are. An accepted row has its path: the next sequence of its species and
+    source, in order of upload_id. What is neither JPEG nor PNG is quarantined with a reason.
+    """
+    from pyspark.sql import Window
+
+    from sparkweave.operators import maintenance as M
+
+    head = F.hex(F.substring("content", 1, 4))
+    kind = F.when(head.startswith(MAGIC["JPEG"]), "jpg").when(head == MAGIC["PNG"], "png")
+    x = files.withColumn("extension", kind).withColumn("folder", F.concat_ws("/", "source", M.slug(F.col("species"))))
+    reason = F.when(F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "empty").when(F.col("extension").isNull(), "not a picture").when(M.slug(F.coalesce("species", F.lit(""))) == "", "no species")
+    x = x.withColumn("reason", reason)
+    good = x.filter("reason IS NULL").join(M.next_numbers(known, "folder", "name"), "folder", "left")
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("upload_id"))
+    sequence = F.coalesce("next", F.lit(1)) + place - 1
+    name = M.file_name(F.col("species"), F.lit(month), sequence, F.lit(1), "")
+    return good.select("upload_id", F.concat(F.col("folder"), F.lit("/"), name, F.col("extension")).alias("path"), "content"), x.filter("reason IS NOT NULL").select("upload_id", "reason")

@@ -11,15 +11,15 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 21
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """(slice of a batch, its texts as UTF-8; null is empty)."""
     for batch in batches:
         data = batch.column(column).cast(pa.large_binary())
-        size = np.asarray(pa.compute.coalesce(pa.compute.binary_length(data), pa.scalar(0, pa.int64()))) if batch.num_rows else np.zeros(0, np.int64)
-        ends, at = np.cumsum(size), 0
+        each = np.asarray(pa.compute.coalesce(pa.compute.binary_length(data), pa.scalar(0, pa.int64()))) if batch.num_rows else np.zeros(0, np.int64)
+        ends, at = np.cumsum(each), 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(at, to - at), [x or b"" for x in data.slice(at, to - at).to_pylist()]
             at = to
 

@@ -23,9 +23,11 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ from sparkweave.llm.common import shuffle_partitions, stage_table
 
 MAGIC = b"WVLT0001"
 SHARD_TOKENS = 1 << 20
+#: Bytes of text whose words are told apart at once.
+TEXT_BYTES = 1 << 23
 END = 2
 NONE = -(1 << 63)
 
@@ -183,66 +187,97 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        (blank,) = self.tokenizer.encode(" ", add_special_tokens=False).tokens
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Whether a token begins with a blank; inside a word none does.
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
         #: Whether a text has no white space but blanks and line ends.
         self.plain = lambda t: not _OTHER_SPACE.search(t)
-        self._forget()
-
-    def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.first = np.zeros(self.UNITS + 1, np.int64)
+        self.used = np.zeros(self.UNITS, np.int32)
         self.full = 0
 
+    def _forget(self) -> None:
+        """Keep the units that were met in most slices: at most half of UNITS."""
+        used = self.used[: len(self.at)]
+        least = 2
+        while (used >= least).sum() > self.UNITS // 2:
+            least += 1
+        kept = np.flatnonzero(used >= least)
+        size = np.diff(self.first[: len(self.at) + 1])[kept]
+        ends = np.cumsum(size)
+        self.full = int(ends[-1]) if len(ends) else 0
+        self.ids[: self.full] = self.ids[np.arange(self.full) + np.repeat(self.first[kept] - (ends - size), size)]
+        self.first[1 : len(kept) + 1] = ends
+        self.used[:] = 0
+        stays = np.zeros(len(used), bool)
+        stays[kept] = True
+        self.at = {u: i for i, u in enumerate(compress(self.at, stays.tolist()))}
+
     def _learn(self, units: list[str]) -> None:
         """Encode what is new. A unit is a word after a blank; with "\n" in front, one after a line's end; with "\0", one
-        that begins a text. Line ends have a token of their own, so many units are encoded in one text of many lines."""
-        apart = [u for u in units if u in ("\n", "\0") or len(u[u[0] in "\n\0" :].split()) != 1 or u[u[0] in "\n\0" :].split()[0] != u[u[0] in "\n\0" :]]
-        odd = set(apart)
-        lines = [u for u in units if u not in odd]
-        for start in range(0, len(lines), 4096):
-            part = lines[start : start + 4096]
-            text = "\n".join(u[1:] if u[0] in "\n\0" else " " + u for u in part)
-            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(got == self.newline), len(got))
-            assert len(ends) == len(part)
-            for u, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
-                self._keep(u, got[a:b])
-        for u, e in zip(apart, self.tokenizer.encode_batch_fast([u[1:] if u[0] in "\n\0" else " " + u for u in apart], add_special_tokens=False) if apart else [], strict=True):
-            self._keep(u, np.array(e.ids, np.uint32))
-
-    def _keep(self, unit: str, ids: np.ndarray) -> None:
-        k, line = len(self.at), unit[0] == "\n"
-        n = len(ids) + line
-        while self.full + n > len(self.ids):
+        that begins a text. Many are encoded in one text: words between blanks, the others as lines."""
+        kinds: dict[str, list[str]] = {"": [], "\n": [], "\0": []}
+        for u in units:
+            kinds[u[0] if u and u[0] in "\n\0" else ""].append(u)
+        for front, mine in kinds.items():
+            word = (lambda u: u[1:]) if front else (lambda u: u)
+            bare = list(map(word, mine))
+            if " ".join(bare).split() != bare:
+                odd = [u for u in mine if word(u).split() != [word(u)]]
+                for u, e in zip(odd, self.tokenizer.encode_batch_fast([word(u) if front else " " + u for u in odd], add_special_tokens=False), strict=True):
+                    ids = np.array([self.newline] * (front == "\n") + e.ids, np.uint32)
+                    self._keep([u], ids, np.array([len(ids)]))
+                mine = [u for u in mine if word(u).split() == [word(u)]]
+                bare = list(map(word, mine))
+            gap = "\n" if front else " "
+            for start in range(0, len(mine), 4096):
+                got = np.array(self.tokenizer.encode_batch_fast([gap + gap.join(bare[start : start + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+                opens = got == self.newline if front else self.opens[got]
+                begins = np.flatnonzero(opens)
+                assert len(begins) == len(mine[start : start + 4096]) and begins[0] == 0
+                ends = np.append(begins[1:], len(got))
+                if front == "\0":
+                    got, ends = got[~opens], ends - np.arange(1, len(ends) + 1)
+                self._keep(mine[start : start + 4096], got, ends)
+
+    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        k, n = len(self.at), len(units)
+        while self.full + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if k + 2 > len(self.first):
+        while k + n + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        if line:
-            self.ids[self.full] = self.newline
-        self.ids[self.full + line : self.full + n] = ids
-        self.full += n
-        self.at[unit] = k
-        self.first[k + 1] = self.full
+            self.used = np.concatenate([self.used, np.zeros_like(self.used)])
+        self.ids[self.full : self.full + len(ids)] = ids
+        self.first[k + 1 : k + n + 1] = self.full + ends
+        self.full += len(ids)
+        self.at.update(zip(units, range(k, k + n), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text), each text closed by END."""
-        split, whole = [], []
+        whole, split = [], []
+        n_units = np.zeros(len(texts), np.int64)
         for n, t in enumerate(texts):
-            units = t.replace("\n", " \n").split(" ")
-            if not t or "\0" in t or "  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[0].isspace() or t[-1].isspace() or not self.plain(t) and any(u[u[0] == "\n" :][:1].isspace() for u in units):
+            if not t or "\0" in t or "  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[0].isspace() or t[-1].isspace() or not self.plain(t) and any(u[u[0] == "\n" :][:1].isspace() for u in t.replace("\n", " \n").split(" ")):
                 whole.append(n)
-                split.append([])
             else:
-                units[0] = "\0" + units[0]
-                split.append(units)
+                split.append("\0" + t)
+                n_units[n] = t.count(" ") + t.count("\n") + 1
         if len(self.at) > self.UNITS:
             self._forget()
-        at = self.at
-        new = {u for units in split for u in units if u not in at}
-        if new:
-            self._learn(sorted(new))
-        n_units = np.array([len(u) for u in split], np.int64)
-        unit = np.fromiter(map(at.__getitem__, (u for units in split for u in units)), np.int64, int(n_units.sum()))
+        # equal units of the slice become one before any of them becomes an object
+        joined = pa.array([" ".join(split).replace("\n", " \n")] if split else [], pa.large_string())
+        coded = pa.compute.split_pattern(joined, " ").values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if (unknown := np.flatnonzero(known < 0)).size:
+            new = [distinct[i] for i in unknown.tolist()]
+            self._learn(new)
+            known[unknown] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        self.used[known] += 1
+        unit = known[coded.indices.to_numpy()]
         size = self.first[unit + 1] - self.first[unit]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.first[unit], size)]
@@ -290,13 +325,18 @@ def _write(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     from sparkweave.llm.arrow import slices
 
-    for rows, texts in slices(batches):
+    for rows, texts in slices(batches, size=TEXT_BYTES):
         got, n = coder.encode([t.decode("utf-8", "replace") for t in texts])
-        ids.append(got)
-        counts.append(n)
-        keys.append(np.asarray(rows.column("key").fill_null(NONE)))
-        if sum(map(len, ids)) >= SHARD_TOKENS:
-            yield flush()
+        names, ends, at = np.asarray(rows.column("key").fill_null(NONE)), np.cumsum(n), 0
+        while at < len(n):
+            before_at = int(ends[at - 1]) if at else 0
+            to = min(len(n), int(np.searchsorted(ends, before_at + SHARD_TOKENS - sum(map(len, ids)))) + 1)
+            ids.append(got[before_at : ends[to - 1]])
+            counts.append(n[at:to])
+            keys.append(names[at:to])
+            at = to
+            if sum(map(len, ids)) >= SHARD_TOKENS:
+                yield flush()
     if ids:
         yield flush()
 

@@ -80,7 +80,7 @@ def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> bytes:
         bit = (a & a.dtype.type(1 << level)) != 0
         out.append(_pack(np.packbits(bit, bitorder="little").tobytes()))
         if level:
-            a = np.concatenate([a[~bit], a[bit]])
+            a = np.concatenate([a.take(np.flatnonzero(~bit)), a.take(np.flatnonzero(bit))])
     return b"".join(out)
 
 
@@ -114,8 +114,8 @@ class WaveletMatrix:
         for level in range(1, self.levels):
             bit, z = self.planes[self.levels - 1 - level], self.zeros[self.levels - 1 - level]
             up = np.empty(self.n, kind)
-            up[~bit] = low[:z]
-            up[bit] = low[z:] | kind(1 << level)
+            up[np.flatnonzero(~bit)] = low[:z]
+            up[np.flatnonzero(bit)] = low[z:] | kind(1 << level)
             low = up
         return self.alphabet[low] if self.n else np.zeros(0, np.uint32)
 

@@ -117,9 +117,16 @@ def from_hsv(x: np.ndarray) -> np.ndarray:
     return to_bytes(np.stack([v - v * s * np.clip(np.minimum(k, 4 - k), 0, 1) for k in parts], -1))
 
 
+def variance(a: np.ndarray) -> float:
+    """Of whole numbers, exact up to the one division."""
+    x = a.astype(np.int64).ravel()
+    n, total, squares = x.size, int(x.sum()), int((x * x).sum())
+    return (n * squares - total * total) / (n * n)
+
+
 def quality(img: np.ndarray) -> dict[str, float]:
     g = grey(img)
-    return {"blur": float(laplacian(g).var()), "brightness": float(g.mean()), "contrast": float(g.std()), "noise": float((g - median(g)).std()), "edges": float(edges(g).mean()), "cast": float(np.std(img.reshape(-1, 3).mean(0)))}
+    return {"blur": variance(laplacian(g)), "brightness": float(g.mean()), "contrast": variance(g) ** 0.5, "noise": variance(g - median(g)) ** 0.5, "edges": float(edges(g).mean()), "cast": float(np.std(img.reshape(-1, 3).mean(0)))}
 
 
 def noise_by_median(g: np.ndarray) -> float:

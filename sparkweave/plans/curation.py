@@ -62,7 +62,7 @@ _QUALITY = f"""{_PX}, lap AS (SELECT file_id, y, x, sum(w) FILTER (abs(dy) + abs
   m AS (SELECT file_id, avg(v) AS brightness, stddev_pop(v) AS contrast, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM px GROUP BY file_id),
   q AS (SELECT m.file_id, round(l.blur, 6) AS blur, round(m.brightness, 6) AS brightness, round(m.contrast, 6) AS contrast, round(n.noise, 6) AS noise,
     round(sqrt((mr * mr + mg * mg + mb * mb) / 3 - pow((mr + mg + mb) / 3, 2)), 6) AS "cast"
-    FROM m JOIN (SELECT file_id, var_pop(l) AS blur FROM lap GROUP BY file_id) l USING (file_id) JOIN (SELECT file_id, stddev_pop(h) AS noise FROM med GROUP BY file_id) n USING (file_id))"""
+    FROM m JOIN (SELECT file_id, (count(*) * sum(l * l) - sum(l) * sum(l))::DOUBLE / (count(*) * count(*)) AS blur FROM lap GROUP BY file_id) l USING (file_id) JOIN (SELECT file_id, stddev_pop(h) AS noise FROM med GROUP BY file_id) n USING (file_id))"""
 _SEEN = ("blur", "brightness", "contrast", "noise", "cast")
 
 

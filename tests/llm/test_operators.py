@@ -74,6 +74,28 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0
 
 
+def test_leak_recall():
+    rng = np.random.default_rng(3)
+    parts = "th er ing on re an he in ed tion st es at en nd ble ly ou ea ha".split()
+    prose = lambda n: " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n))
+    items = [prose(int(rng.integers(15, 60))) for _ in range(30)]
+    index = decontaminate.Index(list(enumerate(items)))
+
+    def chars(t, rate):
+        drawn = lambda: "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)]
+        return "".join(c if rng.random() >= rate else ["", drawn(), drawn() + c][rng.integers(3)] for c in t)
+
+    def typos(t, rate):
+        return " ".join(w[:-1] + "x" if rng.random() < rate else w for w in t.split())
+
+    edits = {"chars": lambda t: chars(t, 0.18), "typos": lambda t: typos(t, 0.6), "head": lambda t: t[int(0.18 * len(t)) :], "words": lambda t: " ".join("zork" if rng.random() < 0.15 else w for w in t.split())}
+    for name, edit in edits.items():
+        made = [f"{prose(30)} {edit(t)} {prose(30)}".encode() for t in items]
+        near = {(d, k) for d, text in enumerate(made) for k, t in enumerate(items) if decontaminate.distance_in(t, text.decode()) <= int(0.2 * len(t) + 1e-9)}
+        got = {pair for pair, _ in decontaminate._hits(index, 0.8, made)}
+        assert len(near) > 12 and len(near & got) >= 0.95 * len(near) and got <= near, name
+
+
 def test_edit_distance():
     def slow(p, t):
         row = [0] * (len(t) + 1)

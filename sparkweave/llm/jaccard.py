@@ -197,8 +197,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     if not maybe.isEmpty():
         sets = _sets_of(docs, classes, maybe.select("sig"), key)
         rows = short_lists(sets)
-        tested = links
-        for turn in range(STAR_ROUNDS + 1):
+        tested, turn = links, 0
+        while turn <= STAR_ROUNDS:
             root = connected(links) if turn else spark.createDataFrame([], "sig bigint, root bigint")
             left = rows.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
             # the centre: the set with the least share of its own shingles, which most of its list links with
@@ -217,10 +217,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             pairs = pairs.select(F.least("p", "sig").alias("a"), F.greatest("p", "sig").alias("b"))
             # merged short lists: a row for each candidate, however many of them it is in
             pairs = stage_table(pairs.groupBy("a", "b").agg(F.count("*").alias("occurs")).select("a", "b").join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-            if pairs.isEmpty():
-                break
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(_test(pairs, sets))
+            if not pairs.isEmpty():
+                tested = tested.unionByName(pairs)
+                links = links.unionByName(_test(pairs, sets))
+            elif turn < STAR_ROUNDS:
+                turn = STAR_ROUNDS  # no centre has a new pair, but others in their lists may have: the last round sees all
+                continue
+            turn += 1
     firsts = classes.groupBy("sig").agg(F.min(key).alias("first"), F.count("*").alias("copies"))
     if not links.isEmpty():
         root = connected(links)

@@ -62,6 +62,22 @@ def test_jaccard(docs, empty):
     assert jaccard.components(empty).count() == 0
 
 
+def test_jaccard_beside_centres(spark):
+    # every list that a and b are both in has a short text as its centre, which neither of them links with
+    for seed in range(1000):
+        rng = np.random.default_rng(seed)
+        words = [f"x{rng.integers(1 << 40)}" for _ in range(104)]
+        short = [" ".join(words[18 * i : 18 * i + 22]) for i in range(5)]
+        a, b = " ".join(words), " ".join(words[:94] + [f"y{seed}z{i}" for i in range(10)])
+        sets = [set(x.view(np.int64).tolist()) for x in jaccard.shingle_sets([t.encode() for t in [a, b, *short]])]
+        least = sorted(sets[0] & sets[1])[:11]
+        if max(sum(h in s for h in least) for s in sets[2:]) <= 4:
+            break
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, "x") for i, t in enumerate([a, b, *short])], SCHEMA)
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert got == {0: 0, 1: 0} | {i: i for i in range(2, 7)}
+
+
 def test_leaks(spark, docs, empty):
     t = texts()
     words = t[6].split()

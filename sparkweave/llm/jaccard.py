@@ -31,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweave.llm import bloom
 from sparkweave.llm.arrow import Words, mix64, slices
-from sparkweave.llm.common import stage_table
+from sparkweave.llm.common import row_hash, stage_table
 
 WIDTH = 5
 STAR_ROUNDS = 2
@@ -159,7 +160,9 @@ def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str) -> D
     one = stage_table(classes.join(ids, "sig", "left_semi").groupBy("sig").agg(F.min(key).alias(key)), "jaccard-ones")
     maybe = bloom.build(one.select(key), bloom.PREFILTER_BITS)
     sets = docs.filter(maybe.passes(F.col(key))).mapInArrow(lambda b: _sets(key, b), f"`{key}` {docs.schema[key].dataType.simpleString()}, sig bigint, set binary")
-    return stage_table(sets.join(one, [key, "sig"], "left_semi").dropDuplicates(["sig"]).select("sig", "set"), "jaccard-sets")
+    one = one.select(F.col(key).alias("one_key"), F.col("sig").alias("one_sig"))
+    mine = F.col(key).eqNullSafe(F.col("one_key")) & (F.col("sig") == F.col("one_sig"))
+    return stage_table(sets.join(one, mine, "left_semi").dropDuplicates(["sig"]).select("sig", "set"), "jaccard-sets")
 
 
 def _test(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,10 +189,9 @@ def connected(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, set_class, copies) of every document; component_id: least key reachable by links."""
+def _grouped(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, sig, n) of every document, (sig, first, copies, root) of every set class). docs: (key, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     classes = stage_table(docs.mapInArrow(lambda b: _classes(key, b), f"`{key}` {kind}, sig bigint, n bigint"), "jaccard-classes")
     maybe = candidates(docs)
@@ -225,14 +227,39 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 continue
             turn += 1
     firsts = classes.groupBy("sig").agg(F.min(key).alias("first"), F.count("*").alias("copies"))
-    if not links.isEmpty():
-        root = connected(links)
-        firsts = firsts.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        of = firsts.groupBy("root").agg(F.min("first").alias("least"))
-        firsts = firsts.join(of, "root").drop("root")
-    else:
-        firsts = firsts.withColumn("least", F.col("first"))
-    firsts = stage_table(firsts.select("sig", "first", "least", "copies"), "jaccard-firsts")
+    if links.isEmpty():
+        return classes, firsts.withColumn("root", F.col("sig"))
+    return classes, firsts.join(connected(links), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, set_class, copies) of every document; component_id: least key reachable by links."""
+    classes, firsts = _grouped(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")), key)
+    of = firsts.groupBy("root").agg(F.min("first").alias("least"))
+    firsts = stage_table(firsts.join(of, "root").select("sig", "first", "least", "copies"), "jaccard-firsts")
     got = classes.join(firsts, "sig")
     alone = F.col("n") == 0
     return got.select(key, F.col("n").alias("n_shingles"), F.when(alone, F.col(key)).otherwise(F.col("least")).alias("component_id"), F.when(alone, F.col(key)).otherwise(F.col("first")).alias("set_class"), F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("copies"))
+
+
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in slices(batches):
+        sets = shingle_sets(texts)
+        yield part.append_column("sig", pa.array([set_id(s) for s in sets], pa.int64())).append_column("n", pa.array([len(s) for s in sets], pa.int64()))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each component, with all columns: of the least key, then set, then row. Ids may be null or clash: rows
+    go by what is in them. Rows without a word link with nothing; only a repeat of the whole row, with an id, goes."""
+    classes, firsts = _grouped(docs.select(F.col(key), "text"), key)
+    rep = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "sig")).alias("rep"))
+    firsts = stage_table(firsts.join(rep, "root").select("sig", F.col("rep.sig").alias("rep"), F.col("rep.first").alias("least")), "jaccard-firsts")
+    gone = classes.filter("n > 0").join(firsts, "sig").filter((F.col("sig") != F.col("rep")) | ~F.col(key).eqNullSafe(F.col("least")))
+    gone = gone.select(F.col(key).alias("gone_key"), F.col("sig").alias("gone_sig")).distinct()
+    rows = docs.mapInArrow(_with_class, T.StructType([*docs.schema, T.StructField("sig", T.LongType()), T.StructField("n", T.LongType())]))
+    rest = rows.join(gone, F.col(key).eqNullSafe(F.col("gone_key")) & (F.col("sig") == F.col("gone_sig")), "left_anti")
+    tied = rest.select(F.struct(*docs.columns).alias("doc"), key, "sig", "n", row_hash(docs).alias("tie"))
+    blank = F.col("n") == 0
+    tied = tied.withColumn("apart", F.when(blank & F.col(key).isNull(), F.monotonically_increasing_id()).when(blank, F.col("tie")).otherwise(0))
+    first = Window.partitionBy(key, "sig", "apart").orderBy("tie")
+    return tied.withColumn("i", F.row_number().over(first)).filter("i = 1").select("doc.*")

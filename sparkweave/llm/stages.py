@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from sparkweave.llm.common import row_hash, table
+from sparkweave.llm.common import table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +16,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id stays; of rows with that id, one."""
-    found = jaccard.components(docs)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.col("tie"))
-    tied = rest.select(F.struct("*").alias("doc"), "doc_id", row_hash(rest).alias("tie"))
-    return tied.withColumn("i", F.row_number().over(first)).filter("i = 1").select("doc.*")
+    """Of each component of near copies one row stays, of the least id."""
+    return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,16 @@ from sparkweave.llm.common import table
 DATA = "/root/testdata/sf0.001"
 
 
+def test_null_and_clashing_ids(spark):
+    near = [f"n{i}" for i in range(60)]
+    texts = [(None, "one"), (None, "two words"), (None, ""), (None, ""), (7, "quite another text"), (7, "and again one"), (7, "and again one"), (8, ""), (8, ""),
+             (3, " ".join(near)), (9, " ".join([*near, "more"])), (9, "not a copy of any"), (None, " ".join([*near, "last"])), (None, "two words")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.STAGES[1][1](spark, docs, DATA).collect()), key=str)
+    want = [*texts[:6], (8, ""), (3, " ".join(near)), (9, "not a copy of any")]
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline(spark):
     docs = table(spark, DATA, "documents")
     columns = docs.columns

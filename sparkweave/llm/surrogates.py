@@ -8,7 +8,8 @@ have octets in range, hex keys stay hex in their case, names follow the gender o
 
 Collision checks keep it distinct: over the table of all distinct entities, two entities with one surrogate, and a
 surrogate that is itself a real entity, are found by aggregation and a join; the losers are drawn again with the next
-attempt, until none is left. The few that needed more than one draw go into the plan as a map if they are at most
+attempt, until none is left; names grow by a syllable with each attempt, so they don't run out. Where a fixed form has
+too few values (after MAX_ATTEMPTS) that is an error. The few that needed more than one draw go into the plan as a map if they are at most
 MAX_REDRAWN; beyond that each document joins its own.
 
 Texts are split by the pattern and put together again in a projection, so they are not shuffled.
@@ -41,6 +42,9 @@ NAMES = {
     ("cyrillic", "last"): "Абрамов Белов Волков Гусев Данилов Ершов Жуков Зайцев Исаев Ковалёв Лебедев Морозов Новиков Орлов Павлов Соколов".split(),
 }
 
+#: A syllable for each hex digit, that a name takes on with each further draw.
+SYLLABLES = {"latin": "ba de fi go hu ka le mi no pu ra se ti vo wa ze".split(), "cyrillic": "ба де фи го ху ка ле ми но пу ра се ти во ва зе".split()}
+
 #: One alternative for each type, the more special first.
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -114,12 +118,17 @@ def _pick(h: Column, at: int, names: list[str]) -> Column:
     return F.get(F.split(F.lit(" ".join(names)), " "), (v % len(names)).cast("int"))
 
 
-def _name(m: Column, h: Column) -> Column:
+def _more(h: Column, attempt: Column, syllables: list[str]) -> Column:
+    each = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.when(i < attempt, F.get(F.split(F.lit(" ".join(syllables)), " "), _nibble(h, i + 16))).otherwise(""))
+    return F.array_join(each, "")
+
+
+def _name(m: Column, h: Column, attempt: Column) -> Column:
     title = F.regexp_extract(m, r"^(\S+ )", 1)
     cyrillic = m.rlike(r"[Ѐ-ӿ]+(?: [Ѐ-ӿ]+)?$")
     woman = gender(m) == "f"
     first = F.when(cyrillic & woman, _pick(h, 1, NAMES["cyrillic", "f"])).when(cyrillic, _pick(h, 1, NAMES["cyrillic", "m"])).when(woman, _pick(h, 1, NAMES["latin", "f"])).otherwise(_pick(h, 1, NAMES["latin", "m"]))
-    last = F.when(cyrillic, F.concat(_pick(h, 9, NAMES["cyrillic", "last"]), F.when(woman, "а").otherwise(""))).otherwise(_pick(h, 9, NAMES["latin", "last"]))
+    last = F.when(cyrillic, F.concat(_pick(h, 9, NAMES["cyrillic", "last"]), _more(h, attempt, SYLLABLES["cyrillic"]), F.when(woman, "а").otherwise(""))).otherwise(F.concat(_pick(h, 9, NAMES["latin", "last"]), _more(h, attempt, SYLLABLES["latin"])))
     two = F.size(F.split(m, " ")) > 2
     return F.concat(title, F.when(two, F.concat_ws(" ", first, last)).otherwise(last))
 
@@ -128,12 +137,13 @@ def surrogates(mentions: Column, attempt_of: Callable[[Column, Column], Column],
     """An array of mentions to an array of surrogates. Step by step, so that each step is evaluated once a mention."""
     kinds = F.transform(mentions, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     norms = F.transform(kinds, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), normal(x["kind"], x["m"]).alias("norm")))
-    hashed = F.transform(norms, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["norm"], attempt_of(x["kind"], x["norm"]).cast("string")), 256).alias("h")))
-    return F.transform(hashed, lambda x: surrogate(x["kind"], x["m"], x["h"], key))
+    drawn = F.transform(norms, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["norm"].alias("norm"), attempt_of(x["kind"], x["norm"]).alias("attempt")))
+    hashed = F.transform(drawn, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["norm"], x["attempt"].cast("string")), 256).alias("h")))
+    return F.transform(hashed, lambda x: surrogate(x["kind"], x["m"], x["h"], x["attempt"], key))
 
 
-def surrogate(kind: Column, m: Column, h: Column, key: str) -> Column:
-    """The replacement of one mention; h: the keyed hash of its entity."""
+def surrogate(kind: Column, m: Column, h: Column, attempt: Column, key: str) -> Column:
+    """The replacement of one mention; h: the keyed hash of its entity and attempt."""
     at = F.instr(m, "@")
     host = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), F.lower(F.substr(m, at + 1))), 256)
     email = F.concat(_alike(F.substr(m, F.lit(1), at - 1), h), F.lit("@h"), F.substr(host, F.lit(1), F.lit(12)), F.lit(".example.org"))
@@ -150,7 +160,7 @@ def surrogate(kind: Column, m: Column, h: Column, key: str) -> Column:
         .when(kind == "phone", _digits(m, h, country))
         .when(kind == "ssn", _digits(m, h, F.lit(0)))
         .when(kind == "card", _checked(_digits(m, h, F.lit(1))))
-        .otherwise(_name(m, h))
+        .otherwise(_name(m, h, attempt))
     )
 
 
@@ -171,6 +181,8 @@ def _redrawn(entities: DataFrame, key: str) -> DataFrame | None:
         kept = now.join(lost, ["kind", "norm"], "left_anti")
         now = stage_table(kept.unionByName(draw(lost)), "pii-drawn")
         settled = now
+    else:
+        raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} draws")
     return None if settled is None else settled.filter("attempt > 0").select("kind", "norm", "attempt")
 
 

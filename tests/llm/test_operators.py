@@ -212,6 +212,14 @@ def test_surrogates(spark, empty):
     assert surrogates.replace(empty).count() == 0
 
 
+def test_more_names_than_listed(spark):
+    letters = "abcdefghij"
+    names = [f"Q{letters[i // 10]}{letters[i % 10]}" for i in range(70)]
+    docs = spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)] + [(100 + i, f"Господин {n}") for i, n in enumerate("Аб Вг Де Жз".split())], "doc_id bigint, text string")
+    got = [r.text for r in surrogates.replace(docs).collect()]
+    assert len(set(got)) == 74 and not {f"Mr {n}" for n in names} & set(got)
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(5)
     plain = lambda: list(rng.choice(WORDS, 40))

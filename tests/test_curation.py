@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweave.functions import pixels as P
-from sparkweave.operators import augment, images, maintenance, memo, ranking
+from sparkweave.operators import augment, images, knn, maintenance, memo, ranking
+from sparkweave.plans import catalog
 from sparkweave.sources import io
 from sparkweave.streaming import tasks
 
@@ -163,3 +164,12 @@ def test_sessions(spark):
 def test_conversion_keeps_flips():
     x = np.arange(27, dtype=np.uint8).reshape(3, 3, 3)
     assert (P.AUGMENT["flip_vertical"](x, None)[0] == x[2]).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_cells_miss_nothing(spark, metric):
+    data = "/root/testdata/sf0.001"
+    corpus, asked = catalog.corpus(spark, data), catalog.asked(spark, data)
+    rows = lambda df: {(r.query_id, r["rank"], r.file_id) for r in df.collect()}
+    want = rows(knn.search(corpus, asked, metric))
+    assert rows(knn.search_cells(*knn.build_cells(corpus), asked, metric)) == want

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset and all is one
+    machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -83,8 +86,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def schema_of(**kinds: str) -> T.StructType:
     return T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in kinds.items()))
-
-
-def empty_or(values: Iterable, default: object) -> object:
-    values = list(values)
-    return values[0] if values and values[0] is not None else default

@@ -158,7 +158,7 @@ def short_lists(sets: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """(sig, set) of the classes in ids, from one document of each; a Bloom filter spares most texts."""
     one = stage_table(classes.join(ids, "sig", "left_semi").groupBy("sig").agg(F.min(key).alias(key)), "jaccard-ones")
-    maybe = bloom.build(one.select(key), bloom.PREFILTER_BITS)
+    maybe = bloom.prefilter(one.select(key), one.count())
     sets = docs.filter(maybe.passes(F.col(key))).mapInArrow(lambda b: _sets(key, b), f"`{key}` {docs.schema[key].dataType.simpleString()}, sig bigint, set binary")
     one = one.select(F.col(key).alias("one_key"), F.col("sig").alias("one_sig"))
     mine = F.col(key).eqNullSafe(F.col("one_key")) & (F.col("sig") == F.col("one_sig"))

@@ -5,7 +5,7 @@ after the last cut, so equal passages give equal chunks wherever they are. Chunk
 digests move to find which chunks occur more than once: these are stored once, in the row of the medium that has them
 first. The store holds, for each distinct medium, the ordered list of chunk digests with the chunks it keeps. Reading back joins shared chunks to the lists that name them,
 puts the chunks together in order and verifies every digest and the medium's. Media without shared chunks and without
-copies, most of them, are written and read in place: a Bloom filter of fixed size tells them apart, and what it lets
+copies, most of them, are written and read in place: a Bloom filter of bounded size tells them apart, and what it lets
 through wrongly takes the join and comes out the same.
 
 The medium of a text is a grey picture in binary PGM, 64 samples of 8 bits in a row: UTF-8, then zeros up to a positive
@@ -140,7 +140,7 @@ def store(docs: DataFrame, index: DataFrame, key: str) -> DataFrame:
     none = F.lit(None).cast("array<int>")
     plan = roles.withColumn("skip", F.lit(False)).unionByName(copied.select(key, "m", none.alias("away"), none.alias("mine"), "skip"))
     plan = stage_table(plan.groupBy(key, "m").agg(F.max("away").alias("away"), F.max("mine").alias("mine"), F.max("skip").alias("skip")), "media-plan")
-    special = bloom.build(plan.select(key), bloom.PREFILTER_BITS).passes(F.coalesce(F.col(key), F.lit(0)))
+    special = bloom.prefilter(plan.select(key), plan.count()).passes(F.col(key))
     alone = docs.filter(~special).select("text").mapInArrow(_store_alone, STORE)
     kind = docs.schema[key].dataType.simpleString()
     named = docs.filter(special).mapInArrow(lambda b: _named(key, b), f"`{key}` {kind}, medium binary, text binary").withColumn("m", F.xxhash64("medium"))

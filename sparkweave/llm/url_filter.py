@@ -2,8 +2,10 @@
 
 The cascade follows the certificate-revocation construction: level 1 encodes the listed keys, level 2 those keys
 of the complete universe that level 1 passes wrongly, level 3 the listed keys that level 2 passes, and so on until
-nothing passes wrongly. As every key that can be asked is in the universe, the answer is exact. The levels are
-arrays of 64-bit words in the plan, so that a page is judged by a projection, without a join.
+nothing passes wrongly. As every key that can be asked is in the universe, the answer is exact. The first level's
+size follows the ratio of listed to other keys, the further ones take 6 bits a key. A level is one row of a small
+table that the plan reads by a scalar subquery, so that a page is judged by a projection, without a join, at any size
+of the list.
 
 Rules: a rule is host + path; it fits its host and all subdomains of it if the url's path starts with the rule's
 path; the longest rule that fits wins. Everything is built-in SQL functions.
@@ -28,8 +30,6 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
-#: Words of 64 bits in all levels together, up to which the cascade goes into the plan (4 MiB); beyond it, a join.
-MAX_WORDS = 1 << 19
 MAX_LEVELS = 64
 
 
@@ -45,10 +45,6 @@ def path_of(url: Column) -> Column:
 class Cascade:
     levels: tuple[bloom.Bloom, ...] = field(default=())
 
-    @property
-    def n_words(self) -> int:
-        return sum(len(x.words) for x in self.levels)
-
     def contains(self, key: Column) -> Column:
         """Exact for every key of the universe from which the cascade was built."""
         out = F.lit(len(self.levels) % 2 == 1)
@@ -57,23 +53,20 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade | None:
-    """universe: (key, listed), each key once. None if the levels would outgrow max_words."""
+def build_cascade(universe: DataFrame) -> Cascade:
+    """universe: (key, listed), each key once."""
     levels: list[bloom.Bloom] = []
     sides = {True: universe.filter("listed").select("key"), False: universe.filter("NOT listed").select("key")}
-    side = True
+    left = {side: keys.count() for side, keys in sides.items()}
+    side, rate = True, min(0.5, max(1e-4, 0.7 * left[True] / max(1, left[False])))
     for seed in range(1, MAX_LEVELS + 1):
-        n = sides[side].count()
-        if n == 0:
-            break
-        if sum(len(x.words) for x in levels) + bloom.bits_for(n) / 64 > max_words:
-            return None
-        levels.append(bloom.build(sides[side], bloom.bits_for(n), seed))
+        if left[side] == 0:
+            return Cascade(tuple(levels))
+        levels.append(bloom.build(sides[side], bloom.bits_for(left[side], rate), seed))
         sides[not side] = sides[not side].filter(levels[-1].passes(F.col("key")))
-        side = not side
-    else:
-        raise ValueError("the cascade doesn't converge: the universe holds a key on both sides")
-    return Cascade(tuple(levels))
+        side, rate = not side, bloom.RATE
+        left[side] = sides[side].count()
+    raise ValueError("the cascade doesn't converge: the universe holds a key on both sides")
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -86,7 +79,7 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return rule, verdict
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url", max_words: int = MAX_WORDS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, listed, verdict) of every row of pages. listed: hosts to block, in column ``host``.
 
     The universe is every host of pages; hosts of the list that no page has can't be asked and are left out.
@@ -95,11 +88,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str
     hosts = parts.select(F.col("host").alias("key")).distinct()
     marks = listed.select(F.col("host").alias("key"), F.lit(True).alias("on")).distinct()
     universe = stage_table(hosts.join(marks, "key", "left").select("key", F.coalesce("on", F.lit(False)).alias("listed")), "url-universe")
-    cascade = build_cascade(universe, max_words)
-    if cascade is not None:
-        judged = parts.withColumn("listed", cascade.contains(F.col("host")))
-    else:
-        judged = parts.join(universe.withColumnRenamed("key", "host"), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    judged = parts.withColumn("listed", build_cascade(universe).contains(F.col("host")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(key, "host", "path", rule.alias("rule"), "listed", F.coalesce(verdict, method).alias("verdict"))

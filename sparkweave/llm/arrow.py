@@ -38,9 +38,10 @@ class Words:
     """The words of several UTF-8 texts: 64-bit hashes, and where they are in the joined texts.
 
     gap: which bytes are between words. A-Z count as a-z. Everything is vectorised: no word becomes an object.
+    Without hashed, only the places are found.
     """
 
-    def __init__(self, texts: list[bytes], gap: np.ndarray = BLANK) -> None:
+    def __init__(self, texts: list[bytes], gap: np.ndarray = BLANK, hashed: bool = True) -> None:
         self.joined = b" ".join(texts)
         buf = np.frombuffer(self.joined, np.uint8)
         out = gap[buf]
@@ -51,6 +52,12 @@ class Words:
             out[np.concatenate([c2, c2 + 1, e2, e2 + 1, e2 + 2])] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[True], out, [True]]).astype(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
+        size = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(size + 1) - size - 1
+        self.firsts = np.searchsorted(self.starts, begins)
+        self.counts = np.diff(np.append(self.firsts, len(self.starts)))
+        if not hashed:
+            return
         self.hashes = np.zeros(len(self.starts), np.uint64)
         letters, at = _LETTERS[FOLDED], 0
         while at < len(self.starts):
@@ -62,10 +69,6 @@ class Words:
             self.hashes[at:to] = np.add.reduceat(letters[bytes_] * _POWERS[inside & 0xFFFF], first) + n.astype(np.uint64)
             at = to
         self.hashes = mix64(self.hashes)
-        size = np.array([len(t) for t in texts], np.int64)
-        begins = np.cumsum(size + 1) - size - 1
-        self.firsts = np.searchsorted(self.starts, begins)
-        self.counts = np.diff(np.append(self.firsts, len(self.starts)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -3,20 +3,23 @@
 The CGK embedding walks over a sequence of characters: step i writes the character under the cursor and moves on if
 bit i of that character's random bits is set. Sequences at a small edit distance agree on most steps, so sampled steps
 of the embedding (bit sampling, for Hamming distance) collide with good probability; each repetition has its own walk
-and its own steps. Walks start at every word, of the documents as of the items, so that wherever an item is whole
-over the length of a walk, they meet; the repetitions follow from the recall that is aimed at. What collides is
+and its own steps. An item's window is covered by walks from each of its words, and documents are walked from every
+word, so that wherever an item is whole over the length of a walk, they meet. The repetitions follow from the recall
+that is aimed at: the fewer walks fit into an item, the more of them are repeated. Items that less than FEW walks fit
+into are found without loss by pieces: with d edits allowed, one of d + 1 pieces is as it was. What collides is
 compared with the part of the item around it, for many candidates at once, and then verified: the least edit distance
 in characters (bit-parallel, Sellers' free ends) between the item and the words around the place must be at most
 (1 - similarity) of the item's length. A copy whose edits leave no start with a walk's length alike (such as one edit
-in every fifth character) isn't met. Items of fewer than TINY words count only word for word: all windows of their
-length are looked up by their words.
+in every fifth character) isn't met.
 
 Documents are only scanned: nothing is shuffled, copies and long texts cost what their length costs. The benchmark
 goes to the tasks in blocks of BLOCK items, one scan for each block.
 
-Words are runs of letters, digits and underscores in lower case (beyond ASCII all but punctuation counts as letters). Edge cases: null or empty texts and items without a
-word match nothing; repeated rows are reported each; repeated items too; a document with several hits of an item
-gives its best (least distance, then first place). Extra columns are not carried.
+Words are runs of letters, digits and underscores in lower case (beyond ASCII all but punctuation counts as letters).
+Edge cases: null or empty texts and items without a word match nothing; repeated rows are reported each; repeated items
+too; ids of items are of any type, also null; a document with several hits of an item gives its best (least distance,
+then first place). Items that are found by pieces match whole words only. Extra columns are not carried by find_leaks,
+and all by drop_leaks.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkweave.llm.arrow import NOT_ALNUM, Words, mix64, slices
 
 SIMILARITY = 0.8
 BLOCK = 20_000
-TINY = 8
-#: Share of the near copies with the most edits, at random places, that the search is to find, and the words of a short item, for which that is reckoned.
-TARGET, STARTS = 0.99, 16
+#: Share of the near copies with the most edits, at random places, that the search is to find.
+TARGET = 0.97
+#: Items with fewer starts of walks are found by pieces; their parts are they themselves, so nothing is lost.
+FEW = 8
 #: Characters of an item's part that is compared before the item, its edits as a share, and how far it may be off.
 PART, PART_EDITS, SLACK = 64, 0.34, 16
 #: Places that count as one; classes that characters are compared by, before they are compared themselves.
@@ -45,48 +50,66 @@ GRAIN, CLASSES = 16, 64
 
 @dataclass(frozen=True)
 class Walk:
-    """Up to steps steps, of which samples are compared; survives: how often a walk comes out alike at the most edits."""
+    """Up to steps steps, of which samples are compared, over about room characters; survives: how often a walk comes
+    out alike at the most edits."""
 
     steps: int
     samples: int
+    room: int
     survives: float
     seed: int
 
-    def repeats(self) -> int:
-        """Walks from each start that reach TARGET for an item of STARTS words."""
-        return math.ceil(math.log(1 - TARGET) / (STARTS * math.log(1 - self.survives)))
+    def repeats(self, starts: int) -> int:
+        """Walks from each start that reach TARGET for an item with so many starts."""
+        return math.ceil(math.log(1 - TARGET) / (starts * math.log(1 - self.survives)))
 
-    def plan(self) -> list[tuple[np.uint64, np.ndarray]]:
+    def plan(self, n: int) -> list[Steps]:
+        """The first n of the walks, which are the same whatever n is."""
         rng = np.random.Generator(np.random.PCG64(self.seed))
-        return [(np.uint64(rng.integers(1, 1 << 62)), np.sort(rng.choice(self.steps, self.samples, replace=False))) for _ in range(self.repeats())]
+        return [Steps(int(rng.integers(1, 1 << 62)), np.sort(rng.choice(self.steps, self.samples, replace=False)).tolist()) for _ in range(n)]
 
 
+@dataclass
+class Steps:
+    """One walk: its key and the steps that are compared; by character, its value and whether each step moves on."""
+
+    key: int
+    sampled: list[int]
+
+    def __post_init__(self) -> None:
+        self.value = mix64(np.arange(CHARS, dtype=np.uint64) ^ np.uint64(self.key))
+        self.moves = [((self.value >> np.uint64(i)) & np.uint64(1)).astype(np.intp) for i in range(self.sampled[-1] + 1)]
+
+
+#: Characters beyond are taken modulo this.
+CHARS = 1 << 16
 #: survives was measured on texts of the test tables with edits in 19% of the characters: 4.7 of 42 starts.
-WALK = Walk(steps=24, samples=14, survives=0.11, seed=101)
+WALK = Walk(steps=24, samples=14, room=16, survives=0.11, seed=101)
 
 
-def embed(chars: np.ndarray, starts: np.ndarray, steps: np.ndarray, key: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def embed(chars: np.ndarray, starts: np.ndarray, walk: Steps) -> tuple[np.ndarray, np.ndarray]:
     """(signature of the sampled steps, characters used) of the CGK walks from starts. chars: padded at the end."""
-    hashes = mix64(chars.astype(np.uint64) ^ key)
-    at = starts.astype(np.int32)
-    sig = np.zeros(len(at), np.uint64)
-    used = at
-    for i in range(int(steps[-1]) + 1):
-        x = hashes[at]
-        if i in steps:
-            sig = (sig ^ x) * np.uint64(0x9E3779B97F4A7C15)
-            sig ^= sig >> np.uint64(31)
+    at, sig = starts.copy(), np.zeros(len(starts), np.uint64)
+    used = starts
+    for i, moves in enumerate(walk.moves):
+        c = chars.take(at)
+        if i in walk.sampled:
+            sig *= np.uint64(0x9E3779B97F4A7C15)
+            sig += walk.value.take(c)
+        if i == walk.sampled[-1]:
             used = at
-        at = at + ((x >> np.uint64(i)) & np.uint64(1)).astype(np.int32)
-    return sig, used - starts + 1
+        else:
+            at += moves.take(c)
+    return mix64(sig), used - starts + 1
 
 
 class Plain:
-    """Texts as their words with a blank after each: string, characters as numbers, where words and texts begin."""
+    """Texts as their words, with a blank before all and one after each: string, characters as numbers, where words and
+    texts begin."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        words = Words([t.decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM)
-        self.hashes, self.firsts, self.counts = words.hashes, words.firsts, words.counts
+        words = Words([t.decode("utf-8", "replace").lower().encode() for t in texts], NOT_ALNUM, hashed=False)
+        self.firsts, self.counts = words.firsts, words.counts
         buf = np.append(np.frombuffer(words.joined, np.uint8), np.uint8(0x20))
         edges = np.zeros(len(buf), np.int8)
         edges[words.starts] += 1
@@ -94,10 +117,10 @@ class Plain:
         inside = np.cumsum(edges, dtype=np.int8) > 0
         keep = inside.copy()
         keep[words.ends] = True
-        self.text = np.where(inside, buf, np.uint8(0x20))[keep].tobytes().decode()
+        self.text = " " + np.where(inside, buf, np.uint8(0x20))[keep].tobytes().decode()
         chars = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
-        self.starts = np.append(0, np.flatnonzero(chars == 0x20) + 1)
-        self.chars = np.append(chars, np.zeros(WALK.steps + 1, np.uint32))
+        self.starts = np.flatnonzero(chars == 0x20) + 1
+        self.chars = np.append(chars % CHARS, np.zeros(WALK.steps + 1, np.uint32)).astype(np.intp)
 
 
 def distance_in(pattern: str, text: str) -> int:
@@ -144,25 +167,33 @@ def near_by(peq: np.ndarray, length: np.ndarray, text: np.ndarray) -> np.ndarray
 class Index:
     """Signatures of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[object, str | None]], similarity: float = SIMILARITY) -> None:
         plain = [(i, Plain([(t or "").encode()])) for i, t in items]
-        plain = [(i, p) for i, p in plain if len(p.hashes)]
+        plain = [(i, p) for i, p in plain if p.counts[0]]
         self.ids = [i for i, _ in plain]
-        self.texts = [p.text[:-1] for _, p in plain]
+        starts = [int((p.starts + WALK.room <= len(p.text)).sum()) for _, p in plain]
+        self.repeats = [WALK.repeats(n) if n >= FEW else 0 for n in starts]
+        size = [len(p.text) - 2 for _, p in plain]
+        self.size = np.array(size, np.int64)
+        self.allowed = [int((1 - similarity) * n + 1e-9) for n in size]
+        #: What is searched for: the item, and with the blanks around it where whole words are asked for.
+        self.texts = [p.text[1:-1] if n else p.text for n, (_, p) in zip(self.repeats, plain, strict=True)]
         self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.tiny: dict[int, dict[int, list[int]]] = {}
+        self.pieces: list[tuple[str, int, int, int]] = []
         rows: dict[int, list[tuple[int, int, int, int]]] = {}
         parts: list[tuple[int, int]] = []
+        walks = WALK.plan(max(self.repeats, default=0))
         for k, (_, p) in enumerate(plain):
-            if len(p.hashes) < TINY:
-                self.tiny.setdefault(len(p.hashes), {}).setdefault(int(_sequence(p.hashes, len(p.hashes))[0]), []).append(k)
-                continue
             first, n = len(parts), len(self.texts[k])
             parts += [(k, min(a, max(0, n - PART))) for a in range(0, max(1, n - PART // 2), PART // 2)]
-            for r, (key, steps) in enumerate(WALK.plan()):
-                sig, used = embed(p.chars, p.starts[:-1], steps, key)
-                mine = [min(len(parts) - 1, first + max(0, o - PART // 4) // (PART // 2)) for o in p.starts.tolist()]
-                rows.setdefault(r, []).extend((int(s), k, int(o), mine[i]) for i, (s, o, u) in enumerate(zip(sig, p.starts[:-1], used, strict=True)) if o + u <= n + 1)
+            part_of = lambda o: min(len(parts) - 1, first + max(0, o - PART // 4) // (PART // 2))  # noqa: B023, E731
+            for r, walk in enumerate(walks[: self.repeats[k]]):
+                sig, used = embed(p.chars, p.starts[:-1], walk)
+                rows.setdefault(r, []).extend((int(s), k, int(o) - 1, part_of(int(o) - 1)) for s, o, u in zip(sig, p.starts[:-1], used, strict=True) if o + u <= n + 2)
+            if not self.repeats[k]:
+                ends = np.linspace(0, n, self.allowed[k] + 2).astype(int).tolist()
+                self.pieces += [(self.texts[k][a:b], k, a, part_of(a)) for a, b in zip(ends, ends[1:], strict=False)]
+        self.walks = walks
         self.part_at = np.array([a for _, a in parts], np.int64)
         self.part_length = np.array([min(PART, len(self.texts[k])) for k, _ in parts], np.int64)
         self.peq = np.zeros((len(parts), CLASSES), np.uint64)
@@ -177,24 +208,40 @@ class Index:
             low[(sig >> np.uint64(44)).astype(np.int64)] = True
             self.tables[at] = (sig[order], *(np.array([g[i] for g in got], np.int64)[order] for i in (1, 2, 3)), low)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"walks": len(self.walks)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"walks": WALK.plan(state["walks"])}
+
     def candidates(self, docs: Plain) -> set[tuple[int, int, int]]:
         """(document, item, place of the item's first character, from the first of all texts) that may be alike."""
         found = []
         starts = docs.starts[:-1]
-        for r, (key, steps) in enumerate(WALK.plan() if self.tables else []):
-            sig, _ = embed(docs.chars, starts, steps, key)
+
+        def put(place: np.ndarray, item: np.ndarray, part: np.ndarray, offset: np.ndarray) -> None:
+            doc = np.searchsorted(docs.firsts, np.searchsorted(starts, place, "right") - 1, "right") - 1
+            found.append(np.stack([doc, item, part, (place - offset + self.length[item]) // GRAIN, place - offset], 1))
+
+        for r, walk in enumerate(self.walks):
+            sig, _ = embed(docs.chars, starts, walk)
+            if r not in self.tables:
+                continue
             known, item, offset, part, low = self.tables[r]
             maybe = np.flatnonzero(low[(sig >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(known, sig[maybe], "left"), np.searchsorted(known, sig[maybe], "right")
             n = hi - lo
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            word = np.repeat(maybe, n)
-            doc = np.searchsorted(docs.firsts, word, "right") - 1
-            found.append(np.stack([doc, item[j], part[j], (starts[word] - offset[j] + self.length[item[j]]) // GRAIN, starts[word] - offset[j]], 1))
+            put(starts[np.repeat(maybe, n)], item[j], part[j], offset[j])
+        for piece, k, offset, part in self.pieces:
+            at = np.array(list(_places(piece, docs.text)), np.int64)
+            lead = piece.startswith(" ")  # a blank that opens a piece belongs to the word after it
+            put(at + lead, *(np.full(len(at), x) for x in (k, part, offset + lead)))
         out: set[tuple[int, int, int]] = set()
         if found:
             # one of those of the same part of an item on about the same diagonal
             hits = np.concatenate(found)
+            hits = hits[hits[:, 0] >= 0]
             place = (hits[:, 3] << 32) | hits[:, 2]
             order = np.lexsort((hits[:, 4], hits[:, 0], place))
             fresh = np.append(True, (np.diff(place[order]) != 0) | (np.diff(hits[order, 0]) != 0))[: len(order)]
@@ -203,88 +250,81 @@ class Index:
                 some = hits[at : at + (1 << 14)]
                 begin = some[:, 4] + self.part_at[some[:, 2]] - SLACK
                 where = np.clip(begin[:, None] + np.arange(PART + 2 * SLACK + GRAIN), 0, len(docs.chars) - 1)
-                far = near_by(self.peq[some[:, 2]], self.part_length[some[:, 2]], (docs.chars[where] % CLASSES).astype(np.int64))
+                far = near_by(self.peq[some[:, 2]], self.part_length[some[:, 2]], docs.chars[where] % CLASSES)
                 out.update(map(tuple, some[far <= PART_EDITS * self.part_length[some[:, 2]]][:, [0, 1, 4]].tolist()))
-        for n, table in self.tiny.items():
-            known = np.array(sorted(table), np.uint64)
-            for p in np.flatnonzero(np.isin(_sequence(docs.hashes, n), known)):
-                d = int(np.searchsorted(docs.firsts, p, "right")) - 1
-                if p + n <= docs.firsts[d] + docs.counts[d]:
-                    out.update((d, k, int(docs.starts[p])) for k in table[int(_sequence(docs.hashes[p : p + n], n)[0])])
         return out
 
 
-def _sequence(h: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(max(0, len(h) - n + 1), n, np.uint64)
-    for j in range(n):
-        out = mix64(out ^ h[j : len(h) - n + 1 + j])
-    return out
+def _places(piece: str, text: str) -> Iterator[int]:
+    at = text.find(piece)
+    while at >= 0:
+        yield at
+        at = text.find(piece, at + 1)
 
 
-def _hits(index: Index, similarity: float, texts: list[bytes]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+def _hits(index: Index, texts: list[bytes]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
     """((text, item), (distance, first word)) of each text with each item that it contains."""
     docs = Plain(texts)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     seen: dict[tuple[int, int], int] = {}
     for d, k, at in sorted(index.candidates(docs)):
-        text = index.texts[k]
-        allowed = int((1 - similarity) * len(text) + 1e-9)
+        text, allowed = index.texts[k], index.allowed[k]
         # nearer to the last one than GRAIN: the same region
         if at - seen.get((d, k), at - GRAIN) < GRAIN or best.get((d, k), (1,))[0] == 0:
             continue
         seen[d, k] = at
-        first, end = int(docs.starts[docs.firsts[d]]), int(docs.starts[docs.firsts[d] + docs.counts[d]]) - 1
+        # from the blank before the text's first word to the one after its last
+        first, end = int(docs.starts[docs.firsts[d]]) - 1, int(docs.starts[docs.firsts[d] + docs.counts[d]])
         begin = max(first, at - allowed - GRAIN)
         got = distance_in(text, docs.text[begin : min(end, at + len(text) + allowed + GRAIN)])
-        word = max(0, int(np.searchsorted(docs.starts, max(at, first), "right")) - 1 - int(docs.firsts[d]))
+        word = max(0, int(np.searchsorted(docs.starts, max(at + text.startswith(" "), first), "right")) - 1 - int(docs.firsts[d]))
         if got <= allowed and ((d, k) not in best or (got, word) < best[d, k]):
             best[d, k] = (got, word)
     return sorted(best.items())
 
 
-def _matches(index: Index, key: str, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matches(index: Index, key: str, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
-        found = _hits(index, similarity, texts)
+        found = _hits(index, texts)
         keys = part.column(key).take(pa.array([d for (d, _), _ in found], pa.int64()))
-        size = [max(1, len(index.texts[k])) for (_, k), _ in found]
         yield pa.RecordBatch.from_arrays(
-            [keys, pa.array([index.ids[k] for (_, k), _ in found], pa.int64()), pa.array([max(0, at) for _, (_, at) in found], pa.int64()), pa.array([d for _, (d, _) in found], pa.int32()), pa.array([1 - d / n for (_, (d, _)), n in zip(found, size, strict=True)], pa.float64())],
+            [keys, pa.array([index.ids[k] for (_, k), _ in found], kind), pa.array([at for _, (_, at) in found], pa.int64()), pa.array([d for _, (d, _) in found], pa.int32()), pa.array([1 - d / int(index.size[k]) for (_, k), (d, _) in found], pa.float64())],
             names=[key, "item_id", "first_word", "distance", "similarity"],
         )
 
 
-def _clean(index: Index, similarity: float, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(index: Index, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches, text):
         keep = np.ones(len(texts), bool)
-        keep[[d for (d, _), _ in _hits(index, similarity, texts)]] = False
+        keep[[d for (d, _), _ in _hits(index, texts)]] = False
         yield part.filter(pa.array(keep))
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, similarity: float, block: int) -> Iterator[Index]:
     items = []
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text")).toLocalIterator():
+    for r in benchmark.select("item_id", "text").toLocalIterator():
         items.append((r.item_id, r.text))
         if len(items) == block:
-            yield Index(items)
+            yield Index(items, similarity)
             items = []
     if items:
-        yield Index(items)
+        yield Index(items, similarity)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The documents that contain no item, with all their columns; one pass for each block of items."""
-    for index in _blocks(benchmark, block):
-        docs = docs.mapInArrow(lambda batches, index=index: _clean(index, similarity, text, batches), docs.schema)
+    for index in _blocks(benchmark, similarity, block):
+        docs = docs.mapInArrow(lambda batches, index=index: _clean(index, text, batches), docs.schema)
     return docs
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(key, item_id, first_word, distance, similarity): each document with each item that it contains."""
     scan = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id bigint, first_word bigint, distance int, similarity double"
+    item = benchmark.schema["item_id"].dataType
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id {item.simpleString()}, first_word bigint, distance int, similarity double"
     out = None
-    for index in [*_blocks(benchmark, block)] or [Index([])]:
-        part = scan.mapInArrow(lambda batches, index=index: _matches(index, key, similarity, batches), schema)
+    for index in [*_blocks(benchmark, similarity, block)] or [Index([])]:
+        part = scan.mapInArrow(lambda batches, index=index: _matches(index, key, to_arrow_type(item), batches), schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -108,10 +108,41 @@ def test_leak_recall():
     for name, edit in edits.items():
         made = [f"{prose(30)} {edit(t)} {prose(30)}".encode() for t in items]
         near = {(d, k) for d, text in enumerate(made) for k, t in enumerate(items) if decontaminate.distance_in(t, text.decode()) <= int(0.2 * len(t) + 1e-9)}
-        got = {pair for pair, _ in decontaminate._hits(index, 0.8, made)}
+        got = {pair for pair, _ in decontaminate._hits(index, made)}
         assert len(near) > 12 and len(near & got) >= 0.95 * len(near) and got <= near, name
 
 
+@pytest.mark.parametrize("n_words", [1, 2, 3, 5, 7, 12, 30, 60, 200, 400])
+def test_leak_recall_by_size(n_words):
+    # random edits anywhere; what counts is what brute force accepts
+    rng = np.random.default_rng(n_words)
+    parts = "th er ing on re an he in ed tion st es at en nd ble ly ou ea ha".split()
+    prose = lambda n: " ".join("".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(n))
+    items = [prose(n_words) for _ in range(max(4, 200 // n_words))]
+    index = decontaminate.Index(list(enumerate(items)))
+    for share in (0.05, 0.1, 0.15, 0.2):
+        made = []
+        for t in items:
+            c = list(t)
+            for _ in range(int(share * len(t))):
+                i = rng.integers(len(c))
+                c[i] = ["", "q", "q" + c[i]][rng.integers(3)]
+            made.append(f"{prose(20)} {''.join(c)} {prose(20)}")
+        near = {(d, k) for d, text in enumerate(made) for k in range(len(items)) if decontaminate.distance_in(index.texts[k], f" {text} ") <= index.allowed[k]}
+        got = {pair for pair, _ in decontaminate._hits(index, [m.encode() for m in made])}
+        assert got <= near and len(got) >= 0.9 * len(near), (share, len(got), len(near))
+
+
+def test_leak_ids(spark):
+    docs = spark.createDataFrame([(None, "here is one two and more", "z"), ("b", None, "z"), ("b", "one tow", "z")], "doc_id string, text string, item_id string")
+    bench = spark.createDataFrame([("x", "One, two"), (None, "one two"), ("y", "!")], "item_id string, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(None, "x", 0), (None, None, 0)}
+    assert decontaminate.drop_leaks(docs, bench).collect() == docs.filter("doc_id IS NOT NULL").collect()
+    long = spark.createDataFrame([("l", "word " * 200_000 + "one two", "z")], docs.schema)
+    assert [r.first_word for r in decontaminate.find_leaks(long, bench).collect()] == [200_000] * 2
+
+
 def test_edit_distance():
     def slow(p, t):
         row = [0] * (len(t) + 1)

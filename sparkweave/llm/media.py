@@ -3,17 +3,18 @@
 A medium is cut where a rolling gear hash over the last 32 bytes has its top bits zero, between MIN and MAX bytes
 after the last cut, so equal passages give equal chunks wherever they are. Chunks are known by their SHA-256. Only
 digests move to find which chunks occur more than once: these are stored once, in the row of the medium that has them
-first. The store holds, for each distinct medium, the ordered list of chunk digests with the chunks it keeps. Reading back joins shared chunks to the lists that name them,
-puts the chunks together in order and verifies every digest and the medium's. Media without shared chunks and without
-copies, most of them, are written and read in place: a Bloom filter of bounded size tells them apart, and what it lets
-through wrongly takes the join and comes out the same.
+first. The store holds, for each distinct medium, the ordered list of chunk digests and sizes, the chunks of its own in
+one piece, and the shared chunks that it keeps. Reading back joins shared chunks to the lists that name them, puts the
+chunks together in order and verifies every digest and the medium's. Media without shared chunks and without copies,
+most of them, are written and read in place, and later copies of a medium aren't moved at all: two Bloom filters of
+bounded size tell them apart by key, and what they let through wrongly takes the join and comes out the same.
 
 The medium of a text is a grey picture in binary PGM, 64 samples of 8 bits in a row: UTF-8, then zeros up to a positive
-multiple of 64.
+multiple of 64. Media are known by their SHA-256, chunks by its first half.
 
-Edge cases: null and empty texts are 64 zeros; equal texts share one medium; repeated rows and repeated ids are kept
-apart by id and medium; a chunk that occurs twice in one medium counts as shared; an empty table gives an empty
-result. A medium that doesn't verify raises. Extra columns are not carried.
+Edge cases: null and empty texts are 64 zeros; equal texts share one medium; null ids are ids like others, and rows with
+one id but several texts have a medium each; a chunk that occurs twice in one medium counts as shared; an empty table
+gives an empty result. A medium that doesn't verify raises. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -97,12 +98,21 @@ def _index(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(t) for t in texts], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.binary()))], names=[key, "n_bytes", "medium", "digests"])
 
 
-STORE = "medium binary, digests array<binary>, inline array<binary>, mine array<int>, shared boolean"
-_STORE = pa.schema([("medium", pa.binary()), ("digests", pa.list_(pa.binary())), ("inline", pa.list_(pa.binary())), ("mine", pa.list_(pa.int32())), ("shared", pa.bool_())])
+#: sizes: of all chunks; blob: those that nothing else has, in order, compressed; mine: shared ones that are kept here.
+STORE = "medium binary, digests array<binary>, sizes array<int>, blob binary, away array<int>, mine array<struct<at: int, bytes: binary>>"
+_STORE = pa.schema([("medium", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("blob", pa.binary()), ("away", pa.list_(pa.int32())), ("mine", pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())])))])
 
 
-def _store_row(medium: bytes, digests: list[bytes], parts: list[bytes], away: set[int], mine: list[int]) -> dict:
-    return {"medium": medium, "digests": digests, "inline": [None if i in away else p for i, p in enumerate(parts)], "mine": mine, "shared": bool(away)}
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor().compress(data)
+
+
+def _open(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _store_row(medium: bytes, digests: list[bytes], parts: list[bytes], shared: set[int], mine: list[int]) -> dict:
+    return {"medium": medium, "digests": digests, "sizes": [len(p) for p in parts], "blob": _squeeze(b"".join(p for i, p in enumerate(parts) if i not in shared)), "away": sorted(shared - set(mine)), "mine": [{"at": i, "bytes": _squeeze(parts[i])} for i in mine]}
 
 
 def _store_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,39 +122,51 @@ def _store_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _named(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(key), pa.array([hashlib.sha256(encode(payload_of(t))).digest() for t in texts], pa.binary()), pa.array([zstandard.ZstdCompressor().compress(t) for t in texts], pa.binary())], names=[key, "medium", "text"])
+        yield pa.RecordBatch.from_arrays([part.column(key), pa.array([hashlib.sha256(encode(payload_of(t))).digest() for t in texts], pa.binary()), pa.array([_squeeze(t) for t in texts], pa.binary())], names=[key, "name", "text"])
 
 
 def _store_special(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the store: the chunk that others share stays in the row that has it first (mine)."""
     for part, texts in slices(batches):
-        texts = [zstandard.ZstdDecompressor().decompress(t) for t in texts]
-        rows = [_store_row(*g, set(away or ()) - set(mine or ()), mine or []) for g, away, mine in zip(chunks([encode(payload_of(t)) for t in texts]), part.column("away").to_pylist(), part.column("mine").to_pylist(), strict=True)]
+        got = chunks([encode(payload_of(_open(t))) for t in texts])
+        rows = [_store_row(*g, set(shared or ()), mine or []) for g, shared, mine in zip(got, part.column("shared").to_pylist(), part.column("mine").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pylist(rows, schema=_STORE)
 
 
+def plan(index: DataFrame, key: str) -> DataFrame:
+    """(medium, owner, shared, mine) of the media that have copies or shared chunks. owner: least key that has it;
+    shared: places of the chunks that come up elsewhere too, mine: of those that this medium keeps."""
+    ids = F.transform("digests", lambda d: F.substring(d, 1, 16))
+    media = index.select(key, "medium", ids.alias("ids")).groupBy("medium").agg(F.min(key).alias("owner"), F.count("*").alias("copies"), F.first("ids").alias("ids"))
+    media = stage_table(media, "media-distinct")
+    each = media.select("medium", F.xxhash64("medium").alias("m"), F.posexplode("ids").alias("at", "id"))
+    several = each.groupBy("id").agg(F.count("*").alias("n"), F.min("m").alias("first")).filter("n > 1").select("id", "first")
+    several = stage_table(several, "media-shared")
+    maybe = bloom.prefilter(several.select("id"), several.count())
+    where = each.filter(maybe.passes(F.col("id"))).join(several, "id")
+    own = F.sort_array(F.collect_list(F.when(F.col("m") == F.col("first"), F.struct("id", "at"))))
+    roles = where.groupBy("medium").agg(F.sort_array(F.collect_list("at")).alias("shared"), own.alias("own"))
+    once = F.filter("own", lambda x, i: (i == 0) | (x["id"] != F.get(F.col("own"), i - 1)["id"]))
+    roles = roles.select("medium", "shared", F.transform(once, lambda x: x["at"]).alias("mine"))
+    got = media.select("medium", "owner", "copies").join(roles, "medium", "left").filter("copies > 1 OR shared IS NOT NULL")
+    return stage_table(got.select("medium", "owner", "shared", "mine"), "media-plan")
+
+
 def store(docs: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Write the chunk store of all media of docs (key, text) and return it as read back."""
-    # what moves are short ids: half a digest for a chunk, a hash for a medium beside its owner's id
-    short = index.select(key, F.xxhash64("medium").alias("m"), F.transform("digests", lambda d: F.substring(d, 1, 16)).alias("ids"))
-    owners = short.groupBy("m").agg(F.min(key).alias("owner"), F.count("*").alias("copies"))
-    several_copies = stage_table(owners.filter("copies > 1").select("m", "owner"), "media-copies")
-    copied = short.select(key, "m").join(several_copies, "m")
-    copied = stage_table(copied.select(key, "m", (F.col(key) != F.col("owner")).alias("skip")).groupBy(key, "m").agg(F.min("skip").alias("skip")), "media-copied")
-    later = copied.filter("skip").select(key, "m")
-    kept = short.join(later, [key, "m"], "left_anti").select(F.col(key).alias("owner"), "m", F.posexplode("ids").alias("at", "id"))
-    several = stage_table(kept.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("owner", "m", "at")).alias("first")).filter("n > 1").select("id", "first"), "media-shared")
-    where = kept.join(several, "id")
-    is_first = (F.col("first.owner") == F.col("owner")) & (F.col("first.m") == F.col("m")) & (F.col("first.at") == F.col("at"))
-    roles = where.groupBy(F.col("owner").alias(key), "m").agg(F.sort_array(F.collect_set("at")).alias("away"), F.sort_array(F.collect_set(F.when(is_first, F.col("at")))).alias("mine"))
-    none = F.lit(None).cast("array<int>")
-    plan = roles.withColumn("skip", F.lit(False)).unionByName(copied.select(key, "m", none.alias("away"), none.alias("mine"), "skip"))
-    plan = stage_table(plan.groupBy(key, "m").agg(F.max("away").alias("away"), F.max("mine").alias("mine"), F.max("skip").alias("skip")), "media-plan")
-    special = bloom.prefilter(plan.select(key), plan.count()).passes(F.col(key))
+    planned = plan(index, key)
+    owners = planned.select("medium", "owner", F.lit(True).alias("planned"))
+    here = F.col(key).eqNullSafe(F.col("owner"))
+    role = F.when(F.col("planned").isNull(), "alone").when(here, "owner").otherwise("later")
+    place = stage_table(index.select(key, "medium").join(owners, "medium", "left").select(key, role.alias("role")).distinct(), "media-place")
+    count = {r.role: r["count"] for r in place.groupBy("role").count().collect()}
+    of = lambda *roles: bloom.prefilter(place.filter(F.col("role").isin(*roles)).select(key), sum(count.get(r, 0) for r in roles)).passes(F.col(key))
+    special, kept = of("owner", "later"), of("owner", "alone")
     alone = docs.filter(~special).select("text").mapInArrow(_store_alone, STORE)
     kind = docs.schema[key].dataType.simpleString()
-    named = docs.filter(special).mapInArrow(lambda b: _named(key, b), f"`{key}` {kind}, medium binary, text binary").withColumn("m", F.xxhash64("medium"))
-    met = named.drop("medium").join(plan, [key, "m"], "left").filter("skip IS NULL OR NOT skip").dropDuplicates([key, "m"])
+    named = docs.filter(special & kept).mapInArrow(lambda b: _named(key, b), f"`{key}` {kind}, name binary, text binary")
+    met = named.join(planned.withColumn("planned", F.lit(True)), F.col("name") == F.col("medium"), "left").filter(F.col("planned").isNull() | here)
+    met = met.dropDuplicates(["name"]).select("text", "shared", "mine")
     return stage_table(alone.unionByName(met.mapInArrow(_store_special, STORE)), "media-store")
 
 
@@ -162,23 +184,26 @@ FEATURES = "medium binary, payload_bytes bigint, payload_sha256 string, tail_crc
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rebuild, verify, decode. fetched: (at, bytes) of the shared chunks, if the medium has any."""
+    """Rebuild, verify, decode. fetched: (at, bytes) of the shared chunks that other rows keep, if the medium has any."""
     for batch in batches:
         for start in range(0, batch.num_rows, 128):
-            part = batch.slice(start, 128)
-            fetched = part.column("fetched").to_pylist() if "fetched" in part.schema.names else [None] * part.num_rows
-            rows = []
-            for name, digests, inline, got in zip(part.column("medium").to_pylist(), part.column("digests").to_pylist(), part.column("inline").to_pylist(), fetched, strict=True):
-                for x in got or ():
-                    inline[x["at"]] = x["bytes"]
-                if len(inline) != len(digests) or any(p is None or hashlib.sha256(p).digest() != d for p, d in zip(inline, digests, strict=True)):
-                    raise ValueError(f"a chunk of medium {name.hex()} doesn't verify")
-                medium = b"".join(inline)
+            part, rows = batch.slice(start, 128), []
+            for r in part.to_pylist():
+                blob, at, parts = _open(r["blob"]), 0, []
+                other = {x["at"]: _open(x["bytes"]) for x in [*r["mine"], *(r.get("fetched") or ())]}
+                away = set(r["away"])
+                for i, n in enumerate(r["sizes"]):
+                    inside = i not in other and i not in away
+                    parts.append(blob[at : at + n] if inside else other.get(i, b""))
+                    at += n if inside else 0
+                if any(hashlib.sha256(p).digest() != d for p, d in zip(parts, r["digests"], strict=True)):
+                    raise ValueError(f"a chunk of medium {r['medium'].hex()} doesn't verify")
+                medium = b"".join(parts)
                 sha = hashlib.sha256(medium).digest()
-                if sha != name:
-                    raise ValueError(f"medium {name.hex()} doesn't verify")
+                if sha != r["medium"]:
+                    raise ValueError(f"medium {r['medium'].hex()} doesn't verify")
                 payload = decode(medium)
-                rows.append((name, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), sha.hex(), feature_of(payload)))
+                rows.append((sha, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), sha.hex(), feature_of(payload)))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
@@ -186,12 +211,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(stored: DataFrame) -> DataFrame:
     """FEATURES of every medium in the store."""
-    whole = stored.filter("NOT shared").select("medium", "digests", "inline").mapInArrow(_read, FEATURES)
-    apart = stored.filter("shared")
-    wanted = apart.select("medium", F.posexplode(F.arrays_zip("digests", "inline")).alias("at", "x")).filter("x.inline IS NULL").select("medium", "at", F.col("x.digests").alias("digest"))
-    shared = stored.filter("size(mine) > 0").select(F.explode("mine").alias("i"), "digests", "inline").select(F.get("digests", F.col("i")).alias("digest"), F.get("inline", F.col("i")).alias("bytes"))
+    whole, apart = stored.filter("size(away) = 0"), stored.filter("size(away) > 0")
+    digest = lambda at: F.get("digests", at).alias("digest")
+    wanted = apart.select("medium", "digests", F.explode("away").alias("at")).select("medium", "at", digest(F.col("at")))
+    shared = stored.filter("size(mine) > 0").select("digests", F.explode("mine").alias("x")).select(digest(F.col("x.at")), "x.bytes")
     fetched = wanted.join(shared, "digest").groupBy("medium").agg(F.collect_list(F.struct("at", "bytes")).alias("fetched"))
-    return whole.unionByName(apart.select("medium", "digests", "inline").join(fetched, "medium", "left").mapInArrow(_read, FEATURES))
+    return whole.mapInArrow(_read, FEATURES).unionByName(apart.join(fetched, "medium", "left").mapInArrow(_read, FEATURES))
 
 
 def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(table(spark, sf_dir, "documents"))
+    """The key is the session's, or else drawn for this run, so that nobody can turn surrogates back by guessing."""
+    return surrogates.replace(table(spark, sf_dir, "documents"), spark.conf.get("spark.sparkweave.pii.key", None) or secrets.token_hex(32))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

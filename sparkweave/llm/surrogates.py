@@ -1,16 +1,16 @@
 """PII: surrogate generation with built-in functions only.
 
-Entities are found by one pattern. Each gets a replacement from a keyed hash of its type and its normal form, so the
+Entities are found by patterns, of which a text is only asked those that its characters allow. Each gets a replacement from a keyed hash of its type and its normal form, so the
 same entity gets the same surrogate wherever it occurs and however it is written (coreference), and nobody without the
 key can tell. The replacement is of the same kind: an address stays an address with letters for letters and digits for
-digits, numbers keep length, separators and country code, card numbers end in their check digit, network addresses
+digits, numbers keep length, separators and country code, card and account numbers have right check digits, network addresses
 have octets in range, hex keys stay hex in their case, names follow the gender of their title and their script.
 
 Collision checks keep it distinct: over the table of all distinct entities, two entities with one surrogate, and a
 surrogate that is itself a real entity, are found by aggregation and a join; the losers are drawn again with the next
 attempt, until none is left; names grow by a syllable with each attempt, so they don't run out. Where a fixed form has
-too few values (after MAX_ATTEMPTS) that is an error. The few that needed more than one draw go into the plan as a map if they are at most
-MAX_REDRAWN; beyond that each document joins its own.
+too few values (after MAX_ATTEMPTS) that is an error. The few that needed more than one draw are read by a scalar
+subquery, as a map, if they are at most MAX_REDRAWN; beyond that each document joins its own.
 
 Texts are split by the pattern and put together again in a projection, so they are not shuffled.
 
@@ -25,9 +25,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import row_hash, stage_table
+from sparkweave.llm.common import row_hash, shuffle_partitions, stage_table
 
-MAX_REDRAWN = 20_000
+MAX_REDRAWN = 2_000
 MAX_ATTEMPTS = 50
 
 #: Titles by gender, and given and family names by script and gender.
@@ -56,7 +56,18 @@ PATTERNS = {
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_TITLED = rf"(?=[{''.join(sorted({t[0] for t in f'{FEMALE}|{MALE}'.split('|')}))}])(?:{PATTERNS['name']})"
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "ssn", "phone", "card"))
+#: For texts without "@", and for those without digits too. What can't begin at a character isn't tried there.
+NO_EMAIL = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9])(?:(?:{PATTERNS['secret']})|(?=[A-Z]{{2}})(?:{PATTERNS['iban']}))|(?=[\d(+])(?:{_NUMBERS})|{_TITLED}"
+NO_DIGIT = rf"(?<![A-Za-z0-9])(?:{PATTERNS['secret']})|{_TITLED}"
+PATTERN = rf"(?:{PATTERNS['email']})|{NO_EMAIL}"
+
+
+def found_in(text: Column) -> Column:
+    """The mentions of entities in a text, in order."""
+    of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return F.when(text.contains("@"), of(PATTERN)).when(text.rlike("[0-9]"), of(NO_EMAIL)).otherwise(of(NO_DIGIT))
 
 
 def kind_of(m: Column) -> Column:
@@ -113,6 +124,14 @@ def _checked(m: Column) -> Column:
     return F.concat(F.regexp_extract(m, r"^(.*)\d(\D*)$", 1), last, F.regexp_extract(m, r"^(.*)\d(\D*)$", 2))
 
 
+def _account(m: Column) -> Column:
+    """m, of blanks, digits and capitals, with the check digits of an IBAN: the number modulo 97 is 1."""
+    bare = F.regexp_replace(m, " ", "")
+    turned = F.split(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(2)), F.lit("00")), "")
+    rest = F.aggregate(turned, F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substr(m, F.lit(5)))
+
+
 def _pick(h: Column, at: int, names: list[str]) -> Column:
     v = F.conv(F.substr(h, F.lit(at), F.lit(8)), 16, 10).cast("long")
     return F.get(F.split(F.lit(" ".join(names)), " "), (v % len(names)).cast("int"))
@@ -155,7 +174,7 @@ def surrogate(kind: Column, m: Column, h: Column, attempt: Column, key: str) ->
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", secret)
-        .when(kind == "iban", _alike(m, h, F.lit(2)))
+        .when(kind == "iban", _account(_alike(m, h, F.lit(4))))
         .when(kind == "ip", F.concat_ws(".", *map(octet, range(4))))
         .when(kind == "phone", _digits(m, h, country))
         .when(kind == "ssn", _digits(m, h, F.lit(0)))
@@ -168,7 +187,7 @@ def _redrawn(entities: DataFrame, key: str) -> DataFrame | None:
     """(kind, norm, attempt) of the entities that keep another attempt than the first. entities: (kind, norm, mention)."""
     real = entities.select("kind", F.col("norm").alias("made"))
     draw = lambda df: df.withColumn("made", normal(F.col("kind"), F.get(surrogates(F.array("mention"), lambda kind, norm: F.col("attempt"), key), F.lit(0))))
-    now = draw(entities.withColumn("attempt", F.lit(0)))
+    now = stage_table(draw(entities.withColumn("attempt", F.lit(0))), "pii-drawn")
     settled = None
     for attempt in range(MAX_ATTEMPTS):
         first = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"))
@@ -186,28 +205,29 @@ def _redrawn(entities: DataFrame, key: str) -> DataFrame | None:
     return None if settled is None else settled.filter("attempt > 0").select("kind", "norm", "attempt")
 
 
-def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = "a-key-to-be-kept-by-its-owner") -> DataFrame:
-    """(key, text, n_entities): texts with every entity replaced by its surrogate."""
+def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", max_redrawn: int = MAX_REDRAWN) -> DataFrame:
+    """(key, text, n_entities): texts with every entity replaced by its surrogate, drawn by the key ``secret``."""
     rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
-    found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
+    found = found_in(F.col("text"))
     mentions = rows.select(F.explode(found).alias("mention"))
     mentions = mentions.groupBy("mention").count().withColumn("kind", kind_of(F.col("mention"))).withColumn("norm", normal(F.col("kind"), F.col("mention")))
-    entities = stage_table(mentions.groupBy("kind", "norm").agg(F.min("mention").alias("mention")), "pii-entities")
+    entities = mentions.groupBy("kind", "norm").agg(F.min("mention").alias("mention"))
+    entities = entities.repartition(shuffle_partitions(docs.sparkSession), "norm")  # small, but each takes long to draw for
+    entities = stage_table(entities, "pii-entities")
     again = _redrawn(entities, secret)
     name = lambda k, n: F.concat_ws("\x1f", k, n)
     if again is None:
         pass
-    elif again.count() <= MAX_REDRAWN:
-        pairs = [(f"{r.kind}\x1f{r.norm}", r.attempt) for r in again.collect()]
-        text_map = "\x1e".join(f"{n}\x1d{a}" for n, a in pairs)
-        attempts = F.str_to_map(F.lit(text_map), F.lit("\x1e"), F.lit("\x1d"))
-        rows = rows.withColumn("attempts", attempts)
+    elif again.count() <= max_redrawn:
+        pairs = again.select(F.struct(name(F.col("kind"), F.col("norm")), F.col("attempt").cast("string")).alias("x"))
+        rows = rows.withColumn("attempts", pairs.agg(F.map_from_entries(F.collect_list("x"))).scalar())
     else:
         named = rows.withColumn("tie", row_hash(rows))
         of = named.select(key, "tie", F.explode(found).alias("mention")).withColumn("kind", kind_of(F.col("mention")))
         of = of.withColumn("norm", normal(F.col("kind"), F.col("mention"))).join(again, ["kind", "norm"])
         maps = of.groupBy(key, "tie").agg(F.map_from_entries(F.collect_set(F.struct(name(F.col("kind"), F.col("norm")), F.col("attempt").cast("string")))).alias("attempts"))
-        rows = named.join(maps, named[key].eqNullSafe(maps[key]) & (named["tie"] == maps["tie"]), "left").select(named[key], named["text"], "attempts")
+        maps = maps.select(F.col(key).alias("of_key"), F.col("tie").alias("of_tie"), "attempts")
+        rows = named.join(maps, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("tie") == F.col("of_tie")), "left").select(key, "text", "attempts")
 
     def attempt(kind: Column, norm: Column) -> Column:
         return F.lit(0) if again is None else F.coalesce(F.try_element_at(F.col("attempts"), name(kind, norm)).cast("int"), F.lit(0))

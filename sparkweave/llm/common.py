@@ -84,5 +84,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def size_in_bytes(df: DataFrame, text: str) -> int:
+    """Of df's files, by the plan's statistics; where the plan can't tell, of the column text, by a scan."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 60 else int(df.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0)
+
+
 def schema_of(**kinds: str) -> T.StructType:
     return T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in kinds.items()))

@@ -1,17 +1,22 @@
 """Token ids in a wavelet matrix for each shard: one compressed file that gives access, counts and occurrences.
 
 A shard holds the ids of consecutive documents. Its alphabet is made dense, and the ids are stored as bit planes from
-the highest bit down; after each plane the sequence is parted stably by that bit, zeros first. Rank on the planes gives
+the highest bit down; after each plane the sequence is parted stably by that bit, zeros first. A plane is cut into blocks
+of BLOCK bits, each compressed by itself where that makes it smaller, and a directory has the ones before each block and
+where it is in the file. So rank opens one block, and select finds its block in the directory by binary search: access,
+counts and single occurrences touch a block or two of each plane, in a file that stays compressed in memory. Rank gives
 any id by position and counts of an id before a position; select gives where the k-th occurrence is. The file has the
-alphabet, the documents' ids and starts, and the planes, each compressed by zstd where that makes it smaller.
+alphabet, the documents' ids and the planes; where documents end is found by the occurrences of the end id, if that is
+in no document (counts are stored otherwise).
 
 Documents are range-partitioned and sorted by id; each task writes shards of about SHARD_TOKENS ids in order, as rows
-of a Parquet table in the shared folder, so any store that Spark writes will do. A text longer than that makes its
+of a Parquet table in the shared folder, so any store that Spark writes will do. Ranges follow from the bytes of the
+table, and equal ids are dealt further by the hash of their text. A text longer than SHARD_TOKENS makes its
 own shard. Texts are encoded by the tokenizers library; as its pre-tokenizer always splits before a blank that is
 followed by a non-blank, units of one blank or line end and a word are encoded once and remembered, in bounded memory; texts
 with runs of white space are encoded whole.
 
-Edge cases: null and empty texts have only the end id; equal document ids stay together, in order of their text;
+Edge cases: null and empty texts have only the end id; equal document ids stay together, in order of their text's hash;
 repeated rows are encoded each; a null document id counts as the least and is returned; an empty table gives an empty
 result. Extra columns are not carried.
 """
@@ -22,7 +27,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import compress, repeat
 
 import numpy as np
@@ -33,19 +38,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import shuffle_partitions, stage_table
+from sparkweave.llm.arrow import slices
+from sparkweave.llm.common import size_in_bytes, stage_table
 
-MAGIC = b"WVLT0001"
+MAGIC = b"WVLT0002"
 SHARD_TOKENS = 1 << 20
+#: Bits of a block, and how many opened blocks are kept.
+BLOCK, OPEN = 1 << 15, 512
+#: Of the table's files, for each range that a task writes.
+RANGE_BYTES = 1 << 24
 #: Bytes of text whose words are told apart at once.
 TEXT_BYTES = 1 << 23
 END = 2
 NONE = -(1 << 63)
 
 
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _packed(data: bytes) -> tuple[bool, bytes]:
+    small = _COMPRESS(data)
+    return (True, small) if len(small) < len(data) else (False, data)
+
+
 def _pack(data: bytes) -> bytes:
-    small = zstandard.ZstdCompressor(level=1).compress(data)
-    return struct.pack("<?q", True, len(small)) + small if len(small) < len(data) else struct.pack("<?q", False, len(data)) + data
+    small, data = _packed(data)
+    return struct.pack("<?q", small, len(data)) + data
 
 
 class _Reader:
@@ -57,16 +75,78 @@ class _Reader:
         self.at += struct.calcsize(form)
         return out
 
-    def section(self) -> bytes:
-        packed, n = self.take("<?q")
-        part = self.data[self.at : self.at + n]
+    def bytes(self, n: int) -> bytes:
         self.at += n
-        return zstandard.ZstdDecompressor().decompress(part) if packed else part
-
+        return self.data[self.at - n : self.at]
 
-def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """The file of one shard. ids: of all its documents; keys, counts: one for each document."""
-    ids = np.asarray(ids, np.uint32)
+    def section(self) -> bytes:
+        packed, n = self.take("<?q")
+        part = self.bytes(n)
+        return _DECOMPRESS(part) if packed else part
+
+
+def _plane(bits: np.ndarray) -> bytes:
+    """A directory (ones before each block, its end among the blocks' bytes, whether it is compressed) and the blocks."""
+    raw = np.packbits(bits, bitorder="little").tobytes()
+    blocks = [_packed(raw[a : a + BLOCK // 8]) for a in range(0, len(raw), BLOCK // 8)]
+    ones = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
+    ends = np.cumsum([len(x) for _, x in blocks], dtype=np.int64)
+    small = np.array([x for x, _ in blocks], bool)
+    return b"".join([(np.cumsum(ones) - ones).astype("<i8").tobytes(), ends.astype("<i8").tobytes(), small.tobytes(), struct.pack("<q", int(ones.sum())), *(x for _, x in blocks)])
+
+
+class Plane:
+    """One plane of a file: its blocks stay compressed until they are asked for."""
+
+    def __init__(self, r: _Reader, n: int, cache: dict) -> None:
+        k = -(-n // BLOCK)
+        self.n, self.cache = n, cache
+        self.before, self.ends = np.frombuffer(r.bytes(8 * k), "<i8"), np.frombuffer(r.bytes(8 * k), "<i8")
+        self.small = np.frombuffer(r.bytes(k), bool)
+        (self.ones,) = r.take("<q")
+        self.data, self.at = r.data, r.at
+        r.at += int(self.ends[-1]) if k else 0
+        #: Zeros before each block.
+        self.clear = np.arange(k) * BLOCK - self.before
+
+    def _raw(self, b: int) -> bytes:
+        part = self.data[self.at + (int(self.ends[b - 1]) if b else 0) : self.at + int(self.ends[b])]
+        return _DECOMPRESS(part) if self.small[b] else part
+
+    def block(self, b: int) -> np.ndarray:
+        """Bits of a block; at most OPEN blocks of a file are kept."""
+        name = (self.at, b)
+        if name not in self.cache:
+            if len(self.cache) >= OPEN:
+                self.cache.pop(next(iter(self.cache)))
+            self.cache[name] = np.unpackbits(np.frombuffer(self._raw(b), np.uint8), bitorder="little").view(bool)[: self.n - b * BLOCK]
+        return self.cache[name]
+
+    def bits(self) -> np.ndarray:
+        raw = b"".join(self._raw(b) for b in range(len(self.ends)))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def get(self, i: int) -> bool:
+        return bool(self.block(i // BLOCK)[i % BLOCK])
+
+    def rank(self, i: int) -> int:
+        """Ones before i."""
+        if i >= self.n:
+            return self.ones
+        b, rest = divmod(i, BLOCK)
+        return int(self.before[b]) + (int(np.count_nonzero(self.block(b)[:rest])) if rest else 0)
+
+    def select(self, bit: bool, k: int) -> int:
+        """Where the k-th such bit is."""
+        before = self.before if bit else self.clear
+        b = int(np.searchsorted(before, k, "right")) - 1
+        block = self.block(b)
+        return b * BLOCK + int(np.flatnonzero(block if bit else ~block)[k - int(before[b])])
+
+
+def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, end: int | None = None) -> bytes:
+    """The file of one shard. ids: of all its documents; keys, counts: one for each document; end: closes each, if any."""
+    ids, counts = np.asarray(ids, np.uint32), np.asarray(counts, "<i8")
     top = int(ids.max()) + 1 if len(ids) else 1
     there = np.zeros(top, bool)
     there[ids] = True
@@ -75,10 +155,11 @@ def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> bytes:
     dense[alphabet] = np.arange(len(alphabet))
     a = dense[ids]
     levels = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
-    out = [MAGIC, struct.pack("<qqi", len(ids), len(keys), levels), _pack(alphabet.astype("<u4").tobytes()), _pack(np.asarray(keys, "<i8").tobytes()), _pack(np.asarray(counts, "<i8").tobytes())]
+    closed = end is not None and np.array_equal(np.flatnonzero(ids == end) + 1, np.cumsum(counts))
+    out = [MAGIC, struct.pack("<qqiq", len(ids), len(keys), levels, end if closed else -1), _pack(alphabet.astype("<u4").tobytes()), _pack(np.asarray(keys, "<i8").tobytes()), _pack(b"" if closed else counts.tobytes())]
     for level in range(levels - 1, -1, -1):
         bit = (a & a.dtype.type(1 << level)) != 0
-        out.append(_pack(np.packbits(bit, bitorder="little").tobytes()))
+        out.append(_plane(bit))
         if level:
             a = np.concatenate([a.take(np.flatnonzero(~bit)), a.take(np.flatnonzero(bit))])
     return b"".join(out)
@@ -92,39 +173,53 @@ class WaveletMatrix:
         if r.data[:8] != MAGIC:
             raise ValueError("not a wavelet file")
         r.at = 8
-        self.n, docs, self.levels = r.take("<qqi")
+        self.n, docs, self.levels, self.end = r.take("<qqiq")
         self.alphabet = np.frombuffer(r.section(), "<u4")
-        self.keys, self.counts = np.frombuffer(r.section(), "<i8"), np.frombuffer(r.section(), "<i8")
+        self.keys, counts = np.frombuffer(r.section(), "<i8"), np.frombuffer(r.section(), "<i8")
+        cache: dict = {}
+        self.planes = [Plane(r, self.n, cache) for _ in range(self.levels)]
+        self.zeros = [self.n - p.ones for p in self.planes]
+        self._bits: list[np.ndarray] | None = None
+        self._counts = counts
         assert len(self.keys) == docs
-        self.planes = [np.unpackbits(np.frombuffer(r.section(), np.uint8), count=self.n, bitorder="little").view(bool) for _ in range(self.levels)]
-        self.zeros = [self.n - int(np.count_nonzero(p)) for p in self.planes]
-        self._ranks: list[np.ndarray] | None = None
 
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each position, for each plane: made when first asked for."""
-        if self._ranks is None:
-            self._ranks = [np.concatenate([[0], np.cumsum(p, dtype=np.int32)]).astype(np.int32) for p in self.planes]
-        return self._ranks
+    def whole(self) -> list[np.ndarray]:
+        """All planes' bits, for work on all ids."""
+        if self._bits is None:
+            self._bits = [p.bits() for p in self.planes]
+        return self._bits
 
     def ids(self) -> np.ndarray:
-        """The whole sequence, from the lowest plane up."""
+        """The whole sequence."""
+        return self.documents()[0]
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the whole sequence, ids of each document with its end id): planes are gone through once, from the lowest up.
+        Documents end where the end id's occurrences are selected."""
         kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
-        low = self.planes[-1].astype(kind)
-        for level in range(1, self.levels):
-            bit, z = self.planes[self.levels - 1 - level], self.zeros[self.levels - 1 - level]
+        end = self._code(self.end) if self.end >= 0 else None
+        at = np.zeros(0, np.int64) if end is None else np.arange(*self._range(end, self.n))
+        low = np.zeros(self.n, kind)
+        for level in range(self.levels):
+            p, z = self.planes[-1 - level], self.zeros[-1 - level]
+            bit = p.bits()
+            clear, set_ = np.flatnonzero(~bit), np.flatnonzero(bit)
             up = np.empty(self.n, kind)
-            up[np.flatnonzero(~bit)] = low[:z]
-            up[np.flatnonzero(bit)] = low[z:] | kind(1 << level)
+            up[clear] = low[:z]
+            up[set_] = low[z:] | kind(1 << level)
             low = up
-        return self.alphabet[low] if self.n else np.zeros(0, np.uint32)
+            if end is not None:
+                at = set_[at - z] if end >> level & 1 else clear[at]
+        counts = np.diff(at + 1, prepend=0) if end is not None else self._counts
+        return (self.alphabet[low] if self.n else np.zeros(0, np.uint32)), counts
 
     def access(self, i: int) -> int:
         """The id at position i."""
         code = 0
-        for p, z, r in zip(self.planes, self.zeros, self.ranks, strict=True):
-            code = code << 1 | int(p[i])
-            i = z + int(r[i]) if p[i] else i - int(r[i])
+        for p, z in zip(self.planes, self.zeros, strict=True):
+            bit, before = p.get(i), p.rank(i)
+            code = code << 1 | bit
+            i = z + before if bit else i - before
         return int(self.alphabet[code])
 
     def _code(self, token: int) -> int | None:
@@ -134,11 +229,9 @@ class WaveletMatrix:
     def _range(self, code: int, i: int) -> tuple[int, int]:
         """Where the code's run begins after all planes, and how far position i has come in it."""
         lo, hi = 0, i
-        for level, (z, r) in enumerate(zip(self.zeros, self.ranks, strict=True)):
-            if code >> (self.levels - 1 - level) & 1:
-                lo, hi = z + int(r[lo]), z + int(r[hi])
-            else:
-                lo, hi = lo - int(r[lo]), hi - int(r[hi])
+        for level, (p, z) in enumerate(zip(self.planes, self.zeros, strict=True)):
+            a, b = p.rank(lo), p.rank(hi)
+            lo, hi = (z + a, z + b) if code >> (self.levels - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, token: int, i: int) -> int:
@@ -159,17 +252,21 @@ class WaveletMatrix:
             raise IndexError("no such occurrence")
         i = self._range(c, 0)[0] + k
         for level in range(self.levels - 1, -1, -1):
-            p, z = self.planes[level], self.zeros[level]
-            r = self.ranks[level]
-            if c >> (self.levels - 1 - level) & 1:
-                i = int(np.searchsorted(r, i - z + 1, "left")) - 1
-            else:
-                i = int(np.searchsorted(np.arange(self.n + 1) - r, i + 1, "left")) - 1
-            assert bool(p[i]) == bool(c >> (self.levels - 1 - level) & 1)
+            bit = bool(c >> (self.levels - 1 - level) & 1)
+            i = self.planes[level].select(bit, i - self.zeros[level] if bit else i)
         return i
 
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+    def occurrences(self, token: int) -> np.ndarray:
+        """All positions of token: one by one while they are few, else all at once on whole planes."""
+        c, n = self._code(token), self.count(token)
+        if n <= 32:
+            return np.array([self.select(token, k) for k in range(n)], np.int64)
+        at = self._range(c, 0)[0] + np.arange(n)
+        for level in range(self.levels - 1, -1, -1):
+            bits = self.whole()[level]
+            bit = bool(c >> (self.levels - 1 - level) & 1)
+            at = np.flatnonzero(bits if bit else ~bits)[at - self.zeros[level] if bit else at]
+        return at
 
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -317,14 +414,12 @@ def _write(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     def flush() -> pa.RecordBatch:
         nonlocal seq, before
         all_ids, all_keys, all_counts = np.concatenate(ids), np.concatenate(keys), np.concatenate(counts)
-        row = {"part": part, "seq": seq, "local_start": before, "n_docs": len(all_keys), "n_tokens": len(all_ids), "data": build(all_ids, all_keys, all_counts)}
+        row = {"part": part, "seq": seq, "local_start": before, "n_docs": len(all_keys), "n_tokens": len(all_ids), "data": build(all_ids, all_keys, all_counts, END)}
         seq, before = seq + 1, before + len(all_ids)
         for x in (ids, keys, counts):
             x.clear()
         return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("local_start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
 
-    from sparkweave.llm.arrow import slices
-
     for rows, texts in slices(batches, size=TEXT_BYTES):
         got, n = coder.encode([t.decode("utf-8", "replace") for t in texts])
         names, ends, at = np.asarray(rows.column("key").fill_null(NONE)), np.cumsum(n), 0
@@ -344,20 +439,21 @@ def _write(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, write the shards' files in order of key, and return their table (FILES) as read back."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    n = shuffle_partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    return stage_table(ordered.mapInArrow(lambda b: _write(path, b), FILES), "token-shards")
+    n = max(1, -(-size_in_bytes(docs, text) // RANGE_BYTES))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return stage_table(ordered.select("key", "text").mapInArrow(lambda b: _write(path, b), FILES), "token-shards")
 
 
-def _documents(use: Callable[[WaveletMatrix], np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, data in zip(batch.column("base").to_pylist(), batch.column("data"), strict=True):
             w = WaveletMatrix(data.as_py())
-            ids = use(w).astype("<u4")
-            ends = np.cumsum(w.counts)
-            starts = ends - w.counts
+            ids, counts = w.documents()
+            ids, ends = ids.astype("<u4"), np.cumsum(counts)
+            starts = ends - counts
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(w.keys, mask=w.keys == NONE), pa.array(starts + base), pa.array(w.counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.keys, mask=w.keys == NONE), pa.array(starts + base), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -368,4 +464,4 @@ def read_documents(files: DataFrame) -> DataFrame:
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("part_start"))
     placed = files.join(F.broadcast(bases), "part").select("data", (F.col("part_start") + F.col("local_start")).alias("base"))
-    return placed.mapInArrow(lambda b: _documents(WaveletMatrix.ids, b), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.mapInArrow(_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

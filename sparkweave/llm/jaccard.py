@@ -155,16 +155,19 @@ def _sets(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([part.column(key), *set_ids(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=[key, "sig", "check", "set"])
 
 
-def _shingles(hot: np.ndarray, want: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, sig, n) of the shingles that are hot, or of the others."""
+def _shingles(hot: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, sig, n, length) of all shingles; length: the count of a hot one, else 0."""
+    known = np.array(sorted(hot), np.int64)
+    length = np.array([hot[h] for h in known.tolist()] + [0], np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
             size = np.array([len(x) for x in sets], np.int32)
-            h, sig, n = np.concatenate(sets), np.repeat(np.asarray(part.column("sig")), size), np.repeat(size, size)
-            mine = np.isin(h, hot) == want
-            yield pa.RecordBatch.from_arrays([pa.array(x[mine]) for x in (h, sig, n)], names=["h", "sig", "n"])
+            h = np.concatenate(sets)
+            i = np.searchsorted(known, h)
+            i[np.append(known, 0)[i] != h] = len(known)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.asarray(part.column("sig")), size)), pa.array(np.repeat(size, size)), pa.array(length[i])], names=["h", "sig", "n", "length"])
 
 
 def divide_skip(query: np.ndarray, other: np.ndarray, block: int = 64) -> bool:
@@ -202,12 +205,9 @@ def candidates(docs: DataFrame, hot: dict[int, int]) -> DataFrame:
 
 def short_lists(sets: DataFrame, hot: dict[int, int]) -> DataFrame:
     """(length, h, sig, n, own): the short lists that each set is in. own: its shingles that no other set has."""
-    spark, known = sets.sparkSession, np.array(sorted(hot), np.int64)
-    cold = sets.mapInArrow(lambda b: _shingles(known, False, b), "h bigint, sig bigint, n int")
-    shared = cold.withColumn("length", F.count("*").over(Window.partitionBy("h"))).filter("length > 1")
-    if hot:
-        length = F.broadcast(spark.createDataFrame(list(hot.items()), "h bigint, length bigint"))  # HOT for each partition
-        shared = shared.unionByName(sets.mapInArrow(lambda b: _shingles(known, True, b), "h bigint, sig bigint, n int").join(length, "h"))
+    rows = sets.mapInArrow(lambda b: _shingles(hot, b), "h bigint, sig bigint, n int, length bigint")
+    shared = rows.filter("length = 0").withColumn("length", F.count("*").over(Window.partitionBy("h"))).filter("length > 1")
+    shared = shared.unionByName(rows.filter("length > 0"))
     shared = shared.groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("shared"))
     need = F.floor((F.col("n") * 4 + 4) / 5).cast("int")
     short = shared.filter(F.size("shared") >= need).withColumn("x", F.explode(F.slice("shared", F.lit(1), F.size("shared") - need + 1)))

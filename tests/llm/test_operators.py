@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -62,6 +63,35 @@ def test_jaccard(docs, empty):
     assert jaccard.components(empty).count() == 0
 
 
+def test_jaccard_hot(spark):
+    """A third of all sets in one group of near copies, another third exact copies, and one line in all texts."""
+    rng = np.random.default_rng(11)
+    line = " ".join(f"l{i}" for i in range(12))
+    near = [f"g{i}" for i in range(80)]
+    made = [" ".join([*near[:k], f"x{k}", *near[k + 1 :]]) + " " + line for k in rng.integers(80, size=700)]
+    made += [" ".join(f"c{i}" for i in range(50)) + " " + line] * 700
+    made += [" ".join(rng.choice(WORDS, 60)) + " " + line for _ in range(700)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id bigint, text string")
+    assert jaccard.hot_shingles(spark.createDataFrame([(1, 10**6, [{"h": 5, "n": 10**5}])], "doc_id int, n bigint, often array<struct<h: bigint, n: bigint>>")) == {5: 10**5}
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert len(got) == 2100 and {got[i] for i in range(700)} == {0} and {got[i] for i in range(700, 1400)} == {700}
+    assert all(got[i] == i for i in range(1400, 2100))
+
+
+def test_sets_alike_in_half(spark):
+    rows = spark.createDataFrame([(1, 7, 1, 3), (2, 7, 2, 3), (3, 7, 1, 3), (4, 8, 1, 3)], "doc_id int, sig bigint, check bigint, n bigint")
+    got = {r.doc_id: (r.sig, r.raw) for r in jaccard.one_each(rows).collect()}
+    assert got[1] == got[3] and len({got[1][0], got[2][0], 8}) == 3 and got[4] == (8, 8) and got[2][1] == 7
+
+
+def test_jaccard_ids(spark):
+    words = [f"n{i}" for i in range(60)]
+    texts = [(3, " ".join(words)), (None, " ".join([*words, "a"])), (None, " ".join([*words, "b"])), (None, "quite alone"), (5, None), (5, "other text")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()), key=str)
+    assert got == sorted([(3, 56, 3), (None, 57, 3), (None, 57, 3), (None, 1, None), (5, 0, 5), (5, 1, 5)], key=str)
+
+
 def test_jaccard_beside_centres(spark):
     # every list that a and b are both in has a short text as its centre, which neither of them links with
     for seed in range(1000):
@@ -214,12 +244,33 @@ def test_media(docs, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_with_odd_ids(spark):
+    """Null, repeated and text ids; copies, near copies that share chunks, chunks twice in a medium, and a long text."""
+    rng = np.random.default_rng(6)
+    base = " ".join(rng.choice(WORDS, 4000))
+    twice = " ".join(rng.choice(WORDS, 3000)) + " "
+    made = [("1", "solo text"), (None, "solo text"), ("2", "x"), (None, base), ("a", base), ("a", base), ("a", "other"), (None, base + " tail"), (None, "head " + base), ("b", twice * 3), (None, None), ("c", ""), (None, twice), ("d", "long " * 300_000)]
+    made += [("copies", "one text of a third of all rows")] * 10
+    docs = spark.createDataFrame(made, "doc_id string, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in media.media_columns(docs).collect())
+    assert got == Counter((i, len((t or "").encode()), hashlib.sha256(media.payload_of((t or "").encode())).hexdigest()) for i, t in made)
+
+
+def test_media_damage(spark):
+    (row,) = (media._store_row(*g, set(), []) for g in media.chunks([media.encode(media.payload_of(b"some text"))]))
+    assert media.read_back(spark.createDataFrame([tuple(row.values())], media.STORE)).count() == 1
+    row["blob"] = media._squeeze(media._open(row["blob"])[:-1] + b"!")
+    with pytest.raises(Exception, match="verify"):
+        media.read_back(spark.createDataFrame([tuple(row.values())], media.STORE)).collect()
+
+
 def test_wavelet(spark, docs, empty):
     ids = np.random.default_rng(4).integers(0, 50, 500)
     w = wavelet.WaveletMatrix(wavelet.build(ids, np.arange(2), np.array([200, 300])))
     assert w.ids().tolist() == ids.tolist() and [w.access(i) for i in range(500)] == ids.tolist()
     for t in (0, 7, 49, 1000):
-        assert w.occurrences(t) == np.flatnonzero(ids == t).tolist() and w.rank(t, 250) == int((ids[:250] == t).sum())
+        assert w.occurrences(t).tolist() == np.flatnonzero(ids == t).tolist() and w.rank(t, 250) == int((ids[:250] == t).sum())
+    assert wavelet.WaveletMatrix(wavelet.build([], [], [])).ids().tolist() == []
     tokenizers = pytest.importorskip("public_tokenizers")
     path = str(tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: r for r in wavelet.read_documents(wavelet.write_shards(docs.dropDuplicates(["doc_id"]), path)).collect()}
@@ -229,26 +280,88 @@ def test_wavelet(spark, docs, empty):
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4")))
         start += len(want)
     assert wavelet.read_documents(wavelet.write_shards(empty, path)).count() == 0
+    # equal and null ids, repeated rows, a text of many shards
+    odd = spark.createDataFrame([(None, "a"), (None, "b c"), (3, "d"), (3, "d"), (1, None), (9, "long word " * 600_000)], "doc_id bigint, text string")
+    found = wavelet.read_documents(wavelet.write_shards(odd, path)).collect()
+    want = Counter((r.doc_id, zlib.crc32(np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4"))) for r in odd.collect())
+    assert Counter((r.doc_id, r.ids_crc32) for r in found) == want
+    at = 0
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [None, None, 1, 3, 3, 9]
+
+
+PII = "Mail a.b7@Mail.example.com or A.B7@mail.example.com, +1 (858) 555-7280, 10.1.2.3, 4111111111111111, Mrs. Jane Doe, Mr. John Doe"
+
+
+def test_wavelet_of_a_whole_shard():
+    rng = np.random.default_rng(8)
+    ids = np.where(rng.random(1 << 20) < 0.3, 7, rng.integers(3, 50_000, 1 << 20)).astype(np.uint32)
+    ids[999::1000] = wavelet.END
+    ids[-1] = wavelet.END
+    ends = np.flatnonzero(ids == wavelet.END) + 1
+    data = wavelet.build(ids, np.arange(len(ends)), np.diff(ends, prepend=0), wavelet.END)
+    assert len(data) < 2.1 * len(ids)
+    began = time.perf_counter()
+    w = wavelet.WaveletMatrix(data)
+    rare = int(ids[12_345])
+    assert [w.access(i) for i in (0, 12_345, len(ids) - 1)] == [ids[0], rare, wavelet.END] and w._bits is None
+    assert w.occurrences(rare).tolist() == np.flatnonzero(ids == rare).tolist() and w._bits is None or rare == 7
+    assert w.select(7, 100_000) == np.flatnonzero(ids == 7)[100_000] and w.rank(7, 500_000) == int((ids[:500_000] == 7).sum())
+    assert np.array_equal(w.occurrences(7), np.flatnonzero(ids == 7)) and time.perf_counter() - began < 1
+    assert np.array_equal(w.documents()[1], np.diff(ends, prepend=0)) and np.array_equal(w.ids(), ids)
 
 
 def test_surrogates(spark, empty):
-    text = "Mail a.b7@Mail.example.com or A.B7@mail.example.com, +1 (858) 555-7280, 10.1.2.3, 4111111111111111, Mrs. Jane Doe, Mr. John Doe"
-    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "nothing 12 here"), (5, text)], "doc_id bigint, text string")
-    got = {r.doc_id: r for r in surrogates.replace(docs).collect()}
+    docs = spark.createDataFrame([(1, PII, "x"), (2, None, "x"), (3, "", "x"), (4, "nothing 12 here", "x"), (5, PII, "x"), (5, PII, "x"), (None, PII, "x")], "doc_id bigint, text string, attempts string")
+    got = {r.doc_id: r for r in surrogates.replace(docs, "k").collect()}
     for secret in ("a.b7@", "555-7280", "10.1.2.3", "4111111111111111", "Jane", "John"):
         assert secret not in got[1].text
-    assert got[1].text == got[5].text and got[2].text is None and got[3].text == "" and got[4].text == "nothing 12 here" and got[1].n_entities == 7
+    assert got[1].text == got[5].text == got[None].text and got[2].text is None and got[3].text == "" and got[4].text == "nothing 12 here" and got[1].n_entities == 7
     one, two = got[1].text.split()[1], got[1].text.split()[3]
     assert one.lower() == two.rstrip(",").lower() and "Mrs. " in got[1].text and "+1 (" in got[1].text
-    assert surrogates.replace(empty).count() == 0
+    assert surrogates.replace(docs, "another").filter("doc_id = 1").first().text != got[1].text
+    assert surrogates.replace(docs, "k").count() == 7 and surrogates.replace(empty, "k").count() == 0
+
+
+def test_long_text_with_entities(spark):
+    docs = spark.createDataFrame([(1, "plain words " * 100_000 + "10.1.2.3 " + "and on " * 100_000)], "doc_id bigint, text string")
+    (r,) = surrogates.replace(docs, "k").collect()
+    assert r.n_entities == 1 and "10.1.2.3" not in r.text and r.text.startswith("plain words ") and r.text.endswith("and on ")
+
+
+def test_check_digits(spark):
+    docs = spark.createDataFrame([(1, "DE89 3704 0044 0532 0130 00"), (2, "GB82WEST12345698765432"), (3, "4111 1111 1111 1111")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace(docs, "k").collect()}
+    for i in (1, 2):
+        bare = got[i].replace(" ", "")
+        assert bare[:2] == ("DE", "GB")[i - 1] and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert got[1].count(" ") == 5 and got[1] != "DE89 3704 0044 0532 0130 00"
+    digits = [int(c) for c in got[3] if c.isdigit()]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_patterns_find_what_all_alternatives_find(spark):
+    """The patterns by characters against the plain alternatives, tried in order at each place."""
+    plain = "|".join(f"(?:{p})" for p in surrogates.PATTERNS.values())
+    bits = ["a@b.co", "x", "Mr", "Mrs. Ann", "Doe", "1.2.3.4", "(858) 555-7280", "+4", "123-45-6789", "AKIA" + "A" * 16, "ab" * 16, "sk-" + "z" * 20, "DE89370400440532013000", "4111111111111111", ".", "-", "ё", "Госпожа Анна"]
+    rng = np.random.default_rng(9)
+    made = ["".join(b + [" ", "", "\n"][rng.integers(3)] for b in rng.choice(bits, rng.integers(1, 7))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(made)), "i int, text string")
+    text = F.col("text")
+    assert docs.filter(surrogates.found_in(text) != F.regexp_extract_all(text, F.lit(plain), F.lit(0))).collect() == []
+    assert docs.filter(F.size(surrogates.found_in(text)) > 0).count() > 1000
 
 
-def test_more_names_than_listed(spark):
+@pytest.mark.parametrize("max_redrawn", [surrogates.MAX_REDRAWN, 0])
+def test_more_names_than_listed(spark, max_redrawn):
     letters = "abcdefghij"
-    names = [f"Q{letters[i // 10]}{letters[i % 10]}" for i in range(70)]
-    docs = spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)] + [(100 + i, f"Господин {n}") for i, n in enumerate("Аб Вг Де Жз".split())], "doc_id bigint, text string")
-    got = [r.text for r in surrogates.replace(docs).collect()]
-    assert len(set(got)) == 74 and not {f"Mr {n}" for n in names} & set(got)
+    names = [f"Q{letters[i // 10 % 10]}{letters[i % 10]}{letters[i // 100]}" for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"Mr {n}, Mr. {n}") for i, n in enumerate(names)] + [(10_000 + i, f"Господин {n}") for i, n in enumerate("Аб Вг Де Жз".split())], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace(docs, "k", max_redrawn=max_redrawn).collect()}
+    assert len(set(got.values())) == 1004 and not set(names) & {w.strip(",") for t in got.values() for w in t.split()}
+    assert all(len({w for w in t.replace(",", "").split() if w not in ("Mr", "Mr.")}) == 1 for i, t in got.items() if i < 10_000)
 
 
 def test_toxicity(spark, empty):

@@ -54,8 +54,13 @@ def score(metric: str, a: Column, b: Column) -> Column:
     return METRICS[metric](a, b)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, not for each element inside f."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def unit(v: Column) -> Column:
-    return F.transform(dbl(v), lambda x: x / (norm(v) + GUARD))
+    return _let(norm(v) + GUARD, lambda n: F.transform(dbl(v), lambda x: x / n))
 
 
 def mean(v: Column) -> Column:
@@ -64,13 +69,17 @@ def mean(v: Column) -> Column:
 
 def deviation(v: Column) -> Column:
     """Population standard deviation of the elements."""
-    m = mean(v)
-    return F.sqrt(total(F.transform(dbl(v), lambda x: (x - m) * (x - m))) / F.size(v))
+    return _let(mean(v), lambda m: F.sqrt(total(F.transform(dbl(v), lambda x: (x - m) * (x - m))) / F.size(v)))
 
 
 def zscore(v: Column) -> Column:
-    m, s = mean(v), deviation(v)
-    return F.transform(dbl(v), lambda x: (x - m) / (s + GUARD))
+    moments = F.struct(mean(v).alias("m"), (deviation(v) + GUARD).alias("s"))
+    return _let(moments, lambda k: F.transform(dbl(v), lambda x: (x - k["m"]) / k["s"]))
+
+
+def features(v: Column) -> Column:
+    """An extractor's vector as it is compared: to unit length, to z-scores, to unit length again."""
+    return unit(zscore(unit(v)))
 
 
 def normalised_for(metric: str, v: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bands as (limit, value), first that fits; confidence weights.
@@ -47,3 +47,32 @@ def concerns(c: Column, distance: Column, position: Column, count: Column) -> Co
     """The rules that apply, joined by commas."""
     rules = F.array(F.when(c < 0.5, "low confidence"), F.when(distance > 1.0, "far"), F.when(position > 5, "low rank"), F.when(count < 20, "few examples"))
     return F.array_join(F.array_compact(rules), ",")
+
+
+def parts(distance: Column, position: Column, total: Column, count: Column, source: Column) -> Column:
+    """array<struct<part, score, weight, contribution>>: what the confidence is made of."""
+    scores = {"distance": F.exp(-distance), "rank": rank_score(position, total), "support": support(count), "source": source}
+    return F.array(*[F.struct(F.lit(n).alias("part"), s.cast("double").alias("score"), F.lit(CONFIDENCE[n]).alias("weight"), (s * CONFIDENCE[n]).cast("double").alias("contribution")) for n, s in scores.items()])
+
+
+def sentence(level_: Column, species: Column, distance: Column) -> Column:
+    return F.format_string("Match of %s confidence: %s at distance %.3f", level_, species, F.round(distance, 3))
+
+
+#: Confidences nearer than this are a tie.
+TIE = 0.05
+
+
+def compare(pairs: DataFrame) -> DataFrame:
+    """pairs with better (a, b or tie) and the part in which the two differ most. pairs: confidence_a, confidence_b,
+    parts_a and parts_b as parts() makes them. Of equal gaps the first part counts."""
+    gap = F.col("confidence_a") - F.col("confidence_b")
+    better = F.when(F.abs(gap) < TIE, "tie").when(gap > 0, "a").otherwise("b")
+    gaps = F.zip_with("parts_a", "parts_b", lambda x, y: F.struct(F.round(F.abs(x["contribution"] - y["contribution"]), 6).alias("gap"), x["part"].alias("part")))
+    largest = F.array_max(F.transform(gaps, lambda x: x["gap"]))
+    return pairs.withColumn("better", better).withColumn("differs_in", F.get(F.filter(gaps, lambda x: x["gap"] == largest), F.lit(0))["part"])
+
+
+def as_json(row: dict[str, Column]) -> Column:
+    """One explanation as JSON text, numbers to four decimals."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in row.items()]))

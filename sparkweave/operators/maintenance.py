@@ -108,3 +108,42 @@ def broken_rules(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """(key, rule) for every rule (a condition in SQL) that a row breaks; null passes, as in a table's constraints."""
     broken = F.array_compact(F.array(*[F.when(~F.expr(c), F.lit(n)) for n, c in rules.items()]))
     return rows.select(key, F.explode(broken).alias("rule"))
+
+
+def numbered(rows: DataFrame, key: str, start: int = 0, width: int = 1 << 16) -> DataFrame:
+    """rows with slot, from start on in the order of key (a whole number). Slots are counted in ranges of width keys, so
+    no task sorts all rows; what one task orders are the counts of ranges."""
+    x = rows.withColumn("_range", F.floor(F.col(key) / width))
+    counts = x.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return x.withColumn("_at", at).join(before, "_range").withColumn("slot", (F.col("_before") + F.col("_at") - 1 + start).cast("long")).drop("_range", "_at", "_before")
+
+
+def appended(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """index (key, v, slot) and the rows of new that it lacks, which get the next slots; those it has stay as they are."""
+    last = index.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
+    return index.unionByName(numbered(new.join(index.select(key), key, "left_anti"), key, last).select(index.columns))
+
+
+def sync_counts(items: DataFrame, indexed: DataFrame, broken: DataFrame, key: str) -> DataFrame:
+    """(total, indexed, missing, added, failed): what synchronising finds and does; broken: keys without a vector."""
+    x = items.select(key).join(indexed.select(key, F.lit(True).alias("has")), key, "left").join(broken.select(key, F.lit(True).alias("bad")), key, "left")
+    has, bad = F.coalesce("has", F.lit(False)), F.coalesce("bad", F.lit(False))
+    return x.agg(F.count("*").alias("total"), F.count_if(has).alias("indexed"), F.count_if(~has).alias("missing"), F.count_if(~has & ~bad).alias("added"), F.count_if(~has & bad).alias("failed"))
+
+
+def record(known: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """known and new rows, which get the next ids in the order of a column."""
+    last = known.agg(F.coalesce(F.max(key) + 1, F.lit(0))).first()[0]
+    return known.unionByName(numbered(new, order, last).withColumnRenamed("slot", key).select(known.columns))
+
+
+def in_buffers(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with the number of the buffer they fill, size rows each; the last one is flushed with what there is."""
+    return numbered(rows, key).withColumn("buffer", F.floor(F.col("slot") / size).cast("long")).drop("slot")
+
+
+def merged(old: Column, new: Column) -> Column:
+    """A map of parameters with those of another on top."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)

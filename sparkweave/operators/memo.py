@@ -96,3 +96,15 @@ def replay(log: DataFrame, capacity: int, cache: str = "cache", at: str = "at")
 
     out = spread.mapInPandas(run, f"`{cache}` {kind}, hits bigint, misses bigint, evictions bigint, size bigint")
     return out.withColumn("hit_rate", F.round(rate(F.col("hits"), F.col("misses")), 6))
+
+
+def two_levels(asked: DataFrame, first: DataFrame, second: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(asked with value and level, entries for the first level): the second level is asked for what the first lacks, and
+    what it has is promoted, with the life it has left."""
+    one = alive(first, now).select("key", F.col("value").alias("value_1"))
+    two = alive(second, now).select("key", F.col("value").alias("value_2"), "cached_at", "expires_at")
+    x = asked.join(one, "key", "left").join(two, "key", "left")
+    level = F.when(F.col("value_1").isNotNull(), "first").when(F.col("value_2").isNotNull(), "second").otherwise("miss")
+    x = x.withColumn("level", level)
+    promoted = x.filter("level = 'second'").select("key", F.col("value_2").alias("value"), now.alias("cached_at"), "expires_at").dropDuplicates(["key"])
+    return x.withColumn("value", F.coalesce("value_1", "value_2")).drop("value_1", "value_2", "cached_at", "expires_at"), promoted

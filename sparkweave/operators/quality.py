@@ -48,3 +48,30 @@ def duplicates(items: DataFrame, key: str, content: Column) -> DataFrame:
     keyed = items.select(F.col(key), F.md5(content.cast("binary")).alias("hash"))
     holder = F.lag(key).over(Window.partitionBy("hash").orderBy(key))
     return keyed.select(key, holder.alias("holder")).filter("holder IS NOT NULL")
+
+
+#: Formats, limits of the picture metrics, and penalties beside those by severity.
+FORMATS = ("JPEG", "PNG", "JPG")
+LEAST_BLUR, LEAST_BRIGHT, MOST_BRIGHT, LEAST_CONTRAST = 20, 20, 80, 15
+VERY_BLURRED, LEAST_CONTENT, BLUR_PENALTY, CONTENT_PENALTY = 30, 40, 10, 15
+
+
+def picture_issues(format_: Column, blur: Column, brightness: Column, contrast: Column) -> Column:
+    """array<struct<rule, severity>> of what the picture itself shows; metrics in percent."""
+    rules = {"format": ("error", ~F.upper(format_).isin(*FORMATS)), "blurred": ("warning", blur < LEAST_BLUR), "dark": ("warning", brightness < LEAST_BRIGHT), "bright": ("warning", brightness > MOST_BRIGHT), "flat": ("warning", contrast < LEAST_CONTRAST)}
+    return F.array_compact(F.array(*[F.when(when, F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, (s, when) in rules.items()]))
+
+
+def full_score(found: Column, size: Column, blur: Column, content: Column) -> Column:
+    """0 to 100: penalties by severity, and for blur and content; an asset without a file scores 0."""
+    lost = F.when(blur < VERY_BLURRED, BLUR_PENALTY).otherwise(0) + F.when(content < LEAST_CONTENT, CONTENT_PENALTY).otherwise(0)
+    return F.when(size.isNull(), 0).otherwise(F.greatest(F.lit(0), score(found) - lost))
+
+
+def valid_duplicates(items: DataFrame, key: str, content: Column, is_valid: Column) -> DataFrame:
+    """(key, holder): rows whose content an earlier valid row has; holder is the latest of those. Null contents are no
+    copies of each other."""
+    keyed = items.select(F.col(key), F.md5(content.cast("binary")).alias("hash"), is_valid.alias("valid")).filter("hash IS NOT NULL")
+    earlier = Window.partitionBy("hash").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    holder = F.last(F.when(F.col("valid"), F.col(key)), ignorenulls=True).over(earlier)
+    return keyed.select(key, holder.alias("holder")).filter("holder IS NOT NULL")

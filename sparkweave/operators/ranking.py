@@ -171,7 +171,7 @@ def evaluate(rows: DataFrame) -> DataFrame:
     x = rows.select("query_id", "label", err.alias("e"), gain.alias("g"), ideal.alias("i"), mean_rank("score").alias("rs"), mean_rank("label").alias("rl"))
     return x.groupBy("query_id").agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("e") * F.col("e")), 6).alias("mse"), F.round(F.avg(F.abs("e")), 6).alias("mae"),
-        F.round(F.coalesce(F.try_divide(F.sum("g"), F.sum("i")), F.lit(0.0)), 6).alias("ndcg"), F.round(F.corr("rs", "rl"), 6).alias("spearman"),
+        F.round(F.coalesce(F.try_divide(F.sum("g"), F.sum("i")), F.lit(0.0)), 6).alias("ndcg"), (F.round(F.corr("rs", "rl"), 6) + 0.0).alias("spearman"),
     )
 
 
@@ -188,3 +188,120 @@ def interpolate(candidates: DataFrame, k: int = 10, query: str = "query_id", key
     mean = F.aggregate(near, F.lit(0.0), lambda a, s: a + s["r"] / (s["d"] + 1e-8)) / weight
     x = candidates.join(samples, query, "left")
     return x.select(query, key, F.coalesce("reranked", F.when(F.size("samples") > 0, mean), "score").alias("final"))
+
+
+def weights_by_kind(kinds: DataFrame) -> DataFrame:
+    """kinds (query_id, kind) with the blend's weights of each kind: one row for each kind is joined."""
+    table = kinds.sparkSession.createDataFrame([(k, *w) for k, w in WEIGHTS.items()], "kind string, vector double, prior double, origin double, variety double")
+    return kinds.join(F.broadcast(table), "kind")
+
+
+def adaptive_blend(vector: Column, species: Column, source: Column, diversity: Column) -> Column:
+    """blend() by the columns of weights_by_kind."""
+    w = [F.col(c) for c in ("vector", "prior", "origin", "variety")]
+    return (w[0] * vector + w[1] * species + w[2] * source + w[3] * diversity) / (w[0] + w[1] + w[2] + w[3])
+
+
+def by_position(score: Column, order: WindowSpec) -> tuple[Column, Column]:
+    """(weight, product): 1 / place in the list, and the score times that."""
+    weight = 1.0 / F.row_number().over(order)
+    return weight, weight * score
+
+
+#: Lists longer than this are re-ranked by a sample.
+SAMPLED_BEYOND = 500
+
+
+def sample_lists(candidates: DataFrame, least: int = 100, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """candidates (query_id, file_id, score) with sampled: without replacement, max(least, share of the list) of each list,
+    weighted by how far a score is below the list's greatest. The draw is a hash's, so reruns agree."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", "query_id", "file_id", F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("double") + 1) / 281474976710657.0
+    weight = F.max("score").over(of_list()) - F.col("score") + 1e-8
+    x = candidates.withColumn("draw", F.round(-F.log(u) / weight, 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("draw", "file_id"))
+    size = F.greatest(F.lit(least), F.floor(F.count("*").over(of_list()) * share))
+    return x.withColumn("sampled", place <= size).drop("draw")
+
+
+def sampled_rerank(candidates: DataFrame, reranked: Column, least: int = 100, share: float = 0.3) -> DataFrame:
+    """(query_id, file_id, final, place): the sample gets the score ``reranked``, the others what their neighbours say."""
+    sampled = sample_lists(candidates, least, share).withColumn("reranked", F.when(F.col("sampled"), reranked))
+    final = interpolate(sampled).withColumn("final", F.round("final", 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "file_id")).cast("long")
+    return final.withColumn("place", place)
+
+
+def synthetic_label(vector: Column, cosine: Column, distance: Column, frequency: Column, quality: Column, source: Column) -> Column:
+    """A label from 0 to 5 where no feedback is known."""
+    x = 0.3 * vector + 0.2 * cosine + 0.2 * (1 - distance) + 0.1 * frequency + 0.1 * quality + 0.1 * source
+    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), 5 * x))
+
+
+def _pairs(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs of one list with different labels, the greater first, with the differences of their features."""
+    a = rows.select("query_id", F.col("file_id").alias("i"), F.col("label").alias("yi"), *[F.col(n).alias(f"a_{n}") for n in names])
+    b = rows.select("query_id", F.col("file_id").alias("j"), F.col("label").alias("yj"), *[F.col(n).alias(f"b_{n}") for n in names])
+    return a.join(b, "query_id").filter("yi > yj").select("query_id", "i", "j", *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
+
+
+def pairwise_gradient(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(feature..., pairs): the mean gradient of the pairwise cross-entropy, one row. Lists are bounded by retrieval."""
+    names = list(weights)
+    miss = 1 / (1 + F.exp(linear_score(weights)))
+    return _pairs(rows, names).withColumn("miss", miss).agg(*[F.coalesce(F.avg(-F.col("miss") * F.col(n)), F.lit(0.0)).alias(n) for n in names], F.count("*").alias("pairs"))
+
+
+def train_pairwise(rows: DataFrame, iterations: int = 10, rate: float = 0.01, start: dict[str, float] | None = None) -> dict[str, float]:
+    """RankNet with a linear score: gradient descent over all pairs. rows: (query_id, file_id, label, features)."""
+    w = dict(start or dict.fromkeys(FEATURES, 0.0))
+    for _ in range(iterations):
+        g = pairwise_gradient(rows, w).first()
+        w = {n: x - rate * g[n] for n, x in w.items()}
+    return w
+
+
+def squared_error(weights: dict[str, float]) -> Column:
+    return F.avg(F.pow(linear_score(weights) - F.col("label"), F.lit(2.0)))
+
+
+def train_validated(train: DataFrame, valid: DataFrame, epochs: int = 5, rate: float = 0.01, start: dict[str, float] = FEATURES) -> tuple[dict[str, float], list[tuple[int, float, float]]]:
+    """(the weights that did best on valid, (epoch, training error, validation error) of each epoch)."""
+    w, best, curve = dict(start), (float("inf"), dict(start)), []
+    for epoch in range(1, epochs + 1):
+        w = train_linear(train, 1, rate, w)
+        mine, theirs = (x.agg(squared_error(w).alias("e")).first().e for x in (train, valid))
+        curve.append((epoch, mine, theirs))
+        if theirs is not None and theirs < best[0]:
+            best = (theirs, dict(w))
+    return best[1], curve
+
+
+#: Kinds of model; those that are no linear one of their own fall back to it.
+ALGORITHMS = {"linear": "linear", "pairwise": "pairwise", "lambdamart": "linear", "listwise": "linear"}
+
+
+def train(rows: DataFrame, algorithm: str = "linear", **options: object) -> tuple[str, dict[str, float]]:
+    """(kind that was trained, weights). An unknown kind is an error."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm!r}; known: {', '.join(ALGORITHMS)}")
+    kind = ALGORITHMS[algorithm]
+    return kind, (train_pairwise if kind == "pairwise" else train_linear)(rows, **options)
+
+
+def update_online(weights: dict[str, float], batch: DataFrame, rate: float = 0.01) -> dict[str, float]:
+    """The weights after one step on the feedback of a batch (in foreachBatch of a stream)."""
+    return train_linear(batch, 1, rate, weights)
+
+
+def diversify(candidates: DataFrame, algorithm: str, k: int = 10) -> DataFrame:
+    """(query_id, position, file_id) by mmr, clusters, features or plain score; dpp and hybrid are plain score too."""
+    if algorithm == "mmr":
+        return mmr(candidates, k).select("query_id", "position", "file_id")
+    if algorithm == "clusters":
+        return best_of_clusters(candidates, k).select("query_id", "position", "file_id")
+    if algorithm == "features":
+        return feature_diversity(candidates, k)
+    if algorithm not in ("none", "dpp", "hybrid"):
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "file_id")).cast("long")
+    return candidates.withColumn("position", place).filter(F.col("position") <= k).select("query_id", "position", "file_id")

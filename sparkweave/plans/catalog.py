@@ -333,9 +333,29 @@ def relevant(spark: SparkSession, d: str) -> DataFrame:
     return found.join(corpus(spark, d), "file_id").join(items(spark, d).select("file_id", "species", "source"), "file_id")
 
 
+def _greedy(relevance: str, value: str, first: str = "n = 0") -> str:
+    """Picks one by one: value of a candidate, from the candidate (c) and what was picked (near, same, other)."""
+    head = _knn_sql("cosine", 50).split("SELECT query_id, rank, file_id, score FROM r")[0]
+    return f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, {head}, k AS (SELECT r.query_id, r.file_id, r.score, list_distance(q.v, c.v) AS d, c.v, species, source FROM r JOIN vec q ON q.file_id = r.query_id JOIN vec c ON c.file_id = r.file_id JOIN items i ON i.file_id = r.file_id WHERE rank <= 50),
+  k1 AS (SELECT *, {relevance} AS rel FROM k), c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, file_id) AS place FROM k1),
+  s AS MATERIALIZED (SELECT q.query_id, q.file_id AS a, c.file_id AS b, {_COS} AS sim, q.species = c.species AS alike, q.source <> c.source AS apart FROM c q JOIN c ON c.query_id = q.query_id),
+  m(query_id, n, file_id, rel, picks) AS (SELECT query_id, CAST(1 AS BIGINT), file_id, rel, [file_id] FROM c WHERE place = 1 UNION ALL
+    SELECT query_id, n + 1, file_id, rel, list_append(picks, file_id) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN {first} THEN 0 ELSE round({value}, 6) END DESC, place) AS t FROM
+      (SELECT m.query_id, m.n, m.picks, c.file_id, c.rel, c.place, max(sim) AS near, count(*) FILTER (alike) AS same, bool_and(apart) AS other FROM m JOIN c ON c.query_id = m.query_id JOIN s ON s.query_id = m.query_id AND s.a = c.file_id
+       WHERE m.n < 10 AND NOT list_contains(m.picks, c.file_id) AND list_contains(m.picks, s.b) GROUP BY ALL)) WHERE t = 1)"""
+
+
+_BOTH = "round(0.5::DOUBLE * CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END + 0.5::DOUBLE * CASE WHEN max(exp(-d)) OVER w > min(exp(-d)) OVER w THEN (exp(-d) - min(exp(-d)) OVER w) / (max(exp(-d)) OVER w - min(exp(-d)) OVER w) ELSE 1 END, 6)"
+
+
 @query("mmr_classic")
 def _(spark, d):
-    return ranking.mmr(relevant(spark, d), 10)
+    """Relevance is half the cosine and half the similarity score, each min-max in its list."""
+    q = asked(spark, d).withColumnRenamed("v", "q")
+    near = F.exp(-V.l2(F.col("q"), F.col("v")))
+    both = 0.5 * ranking.min_max(F.col("relevance"), 1.0) + 0.5 * ranking.min_max(F.col("near"), 1.0)
+    x = relevant(spark, d).join(q, "query_id").withColumn("near", near).withColumn("relevance", F.round(both, 6))
+    return ranking.mmr(x, 10)
 
 
 @query("mmr_free_head")
@@ -348,6 +368,11 @@ def _(spark, d):
     return ranking.feature_diversity(relevant(spark, d), 10)
 
 
+ORACLES["mmr_classic"] = _greedy(_BOTH + " ", "0.7::DOUBLE * rel - 0.3::DOUBLE * near").replace("AS rel FROM k)", "AS rel FROM k WINDOW w AS (PARTITION BY query_id))") + " SELECT query_id, n AS position, file_id, rel AS relevance FROM m"
+ORACLES["mmr_free_head"] = _greedy("score", "0.7::DOUBLE * rel - 0.3::DOUBLE * near", "n < 3") + " SELECT query_id, n AS position, file_id, rel AS relevance FROM m"
+ORACLES["feature_diversity"] = _greedy("score", "0.7::DOUBLE * rel + 0.3::DOUBLE * (0.4::DOUBLE * pow(0.5::DOUBLE, same) + 0.2::DOUBLE * CASE WHEN other THEN 1.0 ELSE 0.5 END + 0.4::DOUBLE * (1 - near))") + " SELECT query_id, n AS position, file_id FROM m"
+
+
 @query("cluster_diversity", _knn_sql("cosine", 50).split("SELECT query_id, rank, file_id, score FROM r")[0] + ", c AS (SELECT r.*, label AS cluster, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, r.file_id) AS turn FROM r JOIN embeddings ON vec_id = r.file_id WHERE rank <= 50), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn > 1, score DESC, file_id) AS position FROM c) SELECT query_id, position, file_id, cluster FROM o WHERE position <= 10")
 def _(spark, d):
     label = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("file_id"), F.col("label").alias("cluster"))
@@ -382,7 +407,7 @@ def _(spark, d):
 
 @query("ltr_evaluation", f"""{_LTR}, z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rs, row_number() OVER (PARTITION BY query_id ORDER BY label DESC, file_id) AS rl,
   rank() OVER (PARTITION BY query_id ORDER BY score) + (count(*) OVER (PARTITION BY query_id, score) - 1) / 2.0 AS ks, rank() OVER (PARTITION BY query_id ORDER BY label) + (count(*) OVER (PARTITION BY query_id, label) - 1) / 2.0 AS kl FROM l)
-  SELECT query_id, count(*) AS n, round(avg((score - label) * (score - label)), 6) AS mse, round(avg(abs(score - label)), 6) AS mae, round(coalesce(sum(label / log2(rs + 1)) / nullif(sum(label / log2(rl + 1)), 0), 0), 6) AS ndcg, round(corr(ks, kl), 6) AS spearman FROM z GROUP BY query_id""")
+  SELECT query_id, count(*) AS n, round(avg((score - label) * (score - label)), 6) AS mse, round(avg(abs(score - label)), 6) AS mae, round(coalesce(sum(label / log2(rs + 1)) / nullif(sum(label / log2(rl + 1)), 0), 0), 6) AS ndcg, round(corr(ks, kl), 6) + 0.0::DOUBLE AS spearman FROM z GROUP BY query_id""")
 def _(spark, d):
     return ranking.evaluate(learned(spark, d).select("query_id", "file_id", "label", F.round(ranking.linear_score(), 5).alias("score")))
 

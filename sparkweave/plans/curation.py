@@ -220,13 +220,13 @@ def _(spark, d):
 
 # --- caches -----------------------------------------------------------------------------------------------------------
 
-_REQUEST = "asked AS (SELECT event_id, 'feature:' || CAST(user_id % 100 AS VARCHAR) AS key FROM events WHERE event_id % 4 = 0), memo AS (SELECT 'feature:' || CAST(vec_id AS VARCHAR) AS key, label AS value, vec_id FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id < 100)"
+_REQUEST = "asked AS (SELECT event_id, 'feature:' || CAST(user_id % 100 AS VARCHAR) AS key FROM events), memo AS (SELECT 'feature:' || CAST(vec_id AS VARCHAR) AS key, label AS value, vec_id FROM embeddings)"
 
 
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    asked = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 4 = 0").selectExpr("event_id", "'feature:' || CAST(user_id % 100 AS STRING) AS key")
+    asked = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "'feature:' || CAST(user_id % 100 AS STRING) AS key")
     life = "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, vec_id * 60)"
-    kept = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 3 <> 0 AND vec_id < 100").selectExpr("'feature:' || CAST(vec_id AS STRING) AS key", "label AS value", "TIMESTAMP '2024-01-01 00:00:00' AS cached_at", f"{life} AS expires_at")
+    kept = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("'feature:' || CAST(vec_id AS STRING) AS key", "label AS value", "TIMESTAMP '2024-01-01 00:00:00' AS cached_at", f"{life} AS expires_at")
     return asked, kept
 
 
@@ -296,14 +296,14 @@ def _(spark, d):
     return tasks.sessions(e, "6 hours").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began", "ended")})
 
 
-_CHANGES = """ch0 AS (SELECT event_id AS change_id, CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS operation, event_id * 3 % 900 AS file_id, CASE WHEN event_id % 2 = 0 THEN 'changed' END AS species, CASE WHEN event_id % 4 = 0 THEN 'img/new.jpg' END AS image_path FROM events WHERE event_id % 5 = 0),
+_CHANGES = """ch0 AS (SELECT event_id AS change_id, CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS operation, event_id * 3 % 900 AS file_id, CASE WHEN event_id % 2 = 0 THEN 'changed' END AS species, CASE WHEN event_id % 4 = 0 THEN 'img/new.jpg' END AS image_path FROM events),
   ch AS (SELECT * FROM ch0 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY change_id DESC) = 1),
   j AS (SELECT coalesce(i.file_id, c.file_id) AS file_id, i.file_id IS NOT NULL AS known, i.species AS o_species, i.image_path AS o_path, c.change_id, c.operation, c.species, c.image_path FROM items i FULL JOIN ch c ON i.file_id = c.file_id),
   lg AS (SELECT change_id, file_id, operation, known OR operation = 'add' AS success FROM j WHERE operation IS NOT NULL)"""
 
 
 def changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 5 = 0").selectExpr("event_id AS change_id", "CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS operation", "event_id * 3 % 900 AS file_id", "CASE WHEN event_id % 2 = 0 THEN 'changed' END AS species", "CASE WHEN event_id % 4 = 0 THEN 'img/new.jpg' END AS image_path")
+    c = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS change_id", "CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS operation", "event_id * 3 % 900 AS file_id", "CASE WHEN event_id % 2 = 0 THEN 'changed' END AS species", "CASE WHEN event_id % 4 = 0 THEN 'img/new.jpg' END AS image_path")
     return maintenance.apply_changes(items(spark, d), c)
 
 

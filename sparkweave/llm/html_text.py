@@ -3,22 +3,25 @@
 A page is parsed into a tree of block elements. What is never article text (scripts, styles, forms, navigation,
 footers, asides, hidden parts, and blocks whose class, id or role names a menu, advert, notice, comments and the like)
 is pruned. Every paragraph, which is an element's own text, is worth 1 point, 1 for each comma and 1 for each 100
-characters up to 3; it passes them to its parent whole, to the grandparent by half, and to further ancestors divided
-by three times the distance. An ancestor's points are discounted by its link density. The best container is kept, or
+characters up to 3; it passes them to its parent whole, to the grandparent by half, and to the next ancestors, REACH in
+all, divided by three times the distance. An ancestor's points are discounted by its link density. The best container is kept, or
 the outermost ``article`` or ``main`` around it, and of its siblings those with a fifth of its points or long text
 with few links. What is kept gives its blocks in page order.
 
 White space inside a block becomes one space, blocks are joined by one space, character references are decoded.
 
 Edge cases: null or empty html, and pages without text, give an empty string; text outside any element, unclosed and
-stray tags, upper case, comments, CDATA and broken references are tolerated; repeated rows give repeated results;
-nothing is cut. Extra columns are not carried.
+stray tags, upper case, comments, CDATA and broken references are tolerated; after a quote that nothing closes, quotes
+in tags count no more; repeated rows give repeated results; of containers that are worth the same the deepest and then
+the first counts; nothing is cut. Time is in proportion to a page's length, whatever it nests or leaves open. Extra
+columns are not carried.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,19 +47,24 @@ OTHER = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
+#: Ancestors that a paragraph's points reach.
+REACH = 5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "pruned", "order", "points", "text", "linked", "depth")
+    __slots__ = ("tag", "parent", "children", "pruned", "order", "points", "text", "linked", "depth", "open_p")
 
     def __init__(self, tag: str, parent: Node | None, pruned: bool, order: int) -> None:
         self.tag, self.parent, self.pruned, self.order = tag, parent, pruned, order
         self.children: list[Node | tuple[str, bool]] = []  # blocks, and (text, inside a link)
         self.points, self.text, self.linked = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
+        #: The paragraph that a block opened here would end.
+        self.open_p: Node | None = self if tag == "p" and parent else None if tag in SCOPE or not parent else parent.open_p
 
 
 def _pruned(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -73,85 +81,107 @@ def _pruned(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of each piece of markup; without a name what isn't an element, with the
+    text of CDATA as attributes. A consumer may send the place to go on from."""
+    pos, last, quotes = 0, page.rfind(">"), True
+    while True:
+        at = page.find("<", pos)
+        if at < 0:
+            return
+        other = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if page.startswith(x[0], at)), None)
+        if other:
+            end = page.find(other[1], at + len(other[0]))
+            text = page[at + 9 : end if end >= 0 else None] if other[1] == "]]>" else ""
+            found = (at, len(page) if end < 0 else end + len(other[1]), "", "", text)
+        elif at > last:
+            return
+        elif m := NAME.match(page, at):
+            whole = ATTRIBUTES.match(page, m.end()) if quotes else None
+            quotes = quotes and whole is not None
+            end = whole.end() if whole else page.find(">", m.end()) + 1
+            if not end:
+                return
+            found = (at, end, m[1], m[2].lower(), page[m.end() : end - 1])
+        else:
+            pos = at + 1
+            continue
+        pos = (yield found) or found[1]
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree of block elements, and all its nodes in page order."""
     root = Node("html", None, False, 0)
     nodes, at, links, article = [root], root, 0, 0
-    pos, n = 0, len(page)
+    opened: Counter[str] = Counter()
     inline: list[tuple[str, bool]] = []  # open inline elements that prune
-    find = TAG.search
-    while pos < n:
-        m = find(page, pos)
-        text = page[pos : m.start() if m else n]
+
+    def close(top: Node) -> None:
+        """Close what is open inside top, and top."""
+        nonlocal at, article
+        while True:
+            done, at = at, at.parent
+            opened[done.tag] -= 1
+            article -= done.tag in ("article", "main")
+            if done is top:
+                return
+
+    pos, markup, resume = 0, tags(page), None
+    while True:
+        try:
+            start, end, closing, tag, attributes = markup.send(resume)
+        except StopIteration:
+            start = None
+        text, resume = page[pos:start], None
         if text and not at.pruned and not inline:
             at.children.append((text, links > 0))
-        if not m:
-            break
-        pos = m.end()
-        tag = (m[2] or "").lower()
+        if start is None:
+            return root, nodes
+        pos = end
         if not tag:
-            if m[0].startswith("<![CDATA[") and not at.pruned:
-                at.children.append((m[0][9:-3], links > 0))
-            continue
-        if m[1]:
+            if attributes and not at.pruned:
+                at.children.append((attributes, links > 0))
+        elif closing:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in INLINE:
                 if inline and inline[-1][0] == tag:
                     inline.pop()
-                continue
-            up = at
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                if tag == "p" and any(x.tag in SCOPE for x in _between(at, up)):
-                    continue
-                article -= sum(x.tag in ("article", "main") for x in [*_between(at, up), up])
-                at, links, inline = up.parent, 0 if tag in SCOPE else links, []
-            continue
-        if tag == "br":
+            elif tag == "p":
+                if at.open_p:
+                    close(at.open_p)
+                    inline = []
+            elif opened[tag] > 0:
+                top = at
+                while top.tag != tag:
+                    top = top.parent
+                close(top)
+                links, inline = 0 if tag in SCOPE else links, []
+        elif tag in ("br", "hr"):
             at.children.append((" ", False))
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                at.children.append((" ", False))
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*/?\s*>|\Z", re.IGNORECASE).search(page, pos)
-            pos = end.end()
-            continue
-        if tag in INLINE:
+        elif tag in VOID or tag in ("html", "body"):
+            pass
+        elif tag in RAW:
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, pos)
+            pos = resume = (page.find(">", found.end()) + 1 if found else 0) or len(page)
+        elif tag in INLINE:
             links += tag == "a"
-            if inline and inline[-1][0] == tag or _pruned(tag, m[3], article > 0):
+            if inline and inline[-1][0] == tag or _pruned(tag, attributes, article > 0):
                 inline.append((tag, True))
-            continue
-        if tag in ("html", "body"):
-            continue
-        inline = []
-        if tag in ENDS_P:
-            p = at
-            while p.parent and p.tag != "p" and p.tag not in SCOPE:
-                p = p.parent
-            if p.tag == "p" and p.parent:
-                at = p.parent
-        if ends := ENDS_SAME.get(tag):
-            while at.parent and at.tag in ends:
-                at = at.parent
-        at = Node(tag, at, at.pruned or _pruned(tag, m[3], article > 0), len(nodes))
-        at.parent.children.append(at)
-        nodes.append(at)
-        article += tag in ("article", "main")
-        if m[3].rstrip().endswith("/") and tag in ("svg", "path", "g"):
-            at = at.parent
-    return root, nodes
-
-
-def _between(low: Node, high: Node) -> list[Node]:
-    out = []
-    while low is not high:
-        out.append(low)
-        low = low.parent
-    return out
+        else:
+            inline = []
+            if tag in ENDS_P and at.open_p:
+                close(at.open_p)
+            if ends := ENDS_SAME.get(tag):
+                while at.parent and at.tag in ends:
+                    close(at)
+            at = Node(tag, at, at.pruned or _pruned(tag, attributes, article > 0), len(nodes))
+            at.parent.children.append(at)
+            nodes.append(at)
+            opened[tag] += 1
+            article += tag in ("article", "main")
+            if attributes.rstrip().endswith("/") and tag in ("svg", "path", "g"):
+                close(at)
 
 
 def _clean(text: str) -> str:
@@ -168,7 +198,7 @@ def score(nodes: list[Node]) -> None:
             node.linked += len(_clean("".join(x[0] for x in node.children if isinstance(x, tuple) and x[1])))
             points = 1 + own.count(",") + min(len(own) / 100, 3)
             up, d = (node if node.tag in SCOPE else node.parent) or node, 1
-            while up:
+            while up and d <= REACH:
                 up.points += points / (1 if d == 1 else 2 if d == 2 else 3 * d)
                 up, d = up.parent, d + 1
     for node in reversed(nodes):

@@ -10,8 +10,9 @@ Targets share ``factor`` times all sizes by weight; a target stops at ``cap`` ti
 is shared again by weight until none is above (closed form: sources in order of cap by weight).
 
 Edge cases: a null source is a source of its own, last in order; null or blank texts have size 0 and take nothing;
-a source of size 0 has target 0. Rows that are equal in all columns share a key; where the cut falls on them, each
-takes the whole part of an equal share. An empty table gives an empty result.
+a source of size 0 has target 0. Rows that are equal in key, text and source share a place; where the cut falls on them, each
+takes the whole part of an equal share. An empty table gives an empty result. Extra columns are carried by mix, inside
+one struct, and not by mix_sizes.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import WORD, row_hash, stage_table
+from sparkweave.llm.common import WORD, stage_table
 
 WEIGHTS = (3, 1, 2)
 FACTOR, CAP = 1.5, 2
+#: Rows of a range, at any size of the table: the one task that sorts the range of a source's cut has about as many.
 ROWS_PER_RANGE = 50_000
 
 
@@ -50,10 +52,18 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, factor: float =
     return x.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * F.col("rest") / F.nullif(F.col("free"), F.lit(0.0))).alias("target"))
 
 
+def places(key: Column, text: Column, source: Column, seed: int) -> tuple[Column, Column]:
+    """The hash-random order: two numbers of 60 bits, of md5 so that SQL elsewhere can say the same."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), blank(key.cast("string")), blank(F.md5(text)), blank(source.cast("string"))))
+    return tuple(F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 17))
+
+
 def keyed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
     """docs as a struct, with source, size, and the hash-random order (h, tie)."""
-    tie = row_hash(docs)
-    return docs.select(F.struct("*").alias("doc"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"), tie).alias("h"), tie.alias("tie"))
+    t, s = F.col(f"`{text}`"), F.col(f"`{source}`")
+    h, tie = places(F.col(f"`{key}`"), t, s, seed)
+    return docs.select(F.struct("*").alias("doc"), s.alias("source"), word_count(t).alias("size"), h.alias("h"), tie.alias("tie"))
 
 
 def cuts(rows: DataFrame, weights: Sequence[int] = WEIGHTS, factor: float = FACTOR, cap: int = CAP) -> DataFrame:
@@ -63,7 +73,7 @@ def cuts(rows: DataFrame, weights: Sequence[int] = WEIGHTS, factor: float = FACT
     """
     n = rows.count()
     bits = max(1, math.ceil(math.log2(max(2, n / ROWS_PER_RANGE))))
-    ranged = rows.withColumn("range", F.shiftrightunsigned(F.col("h"), 64 - bits))
+    ranged = rows.withColumn("range", F.shiftright(F.col("h"), 60 - bits))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, factor, cap)
     budget = F.floor("target")
@@ -81,18 +91,12 @@ def cuts(rows: DataFrame, weights: Sequence[int] = WEIGHTS, factor: float = FACT
     return stage_table(goals.join(cut, goals["source"].eqNullSafe(cut["s"]), "left").drop("s", "rest"), "mix-cuts")
 
 
-def order_key(h: Column) -> Column:
-    """h in the order of its ranges: as unsigned."""
-    return h.bitwiseXOR(F.lit(-(1 << 63)))
-
-
 def take(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """rows with source_size, target, epochs (whole copies) and part (words of one copy more that isn't whole)."""
     c = F.broadcast(cut.withColumnRenamed("source", "s"))  # one row for each source
     x = rows.join(c, rows["source"].eqNullSafe(c["s"])).drop("s")
     at = (F.col("h") == F.col("cut_h")) & (F.col("tie") == F.col("cut_tie"))
-    mine, theirs = order_key(F.col("h")), order_key(F.col("cut_h"))
-    below = (mine < theirs) | ((mine == theirs) & (F.col("tie") < F.col("cut_tie")))
+    below = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("tie") < F.col("cut_tie")))
     x = x.withColumn("epochs", F.col("epochs") + F.when(F.coalesce(below, F.lit(False)), 1).otherwise(0))
     return x.withColumn("part", F.when(F.coalesce(at, F.lit(False)), F.least("part", "size")).otherwise(F.lit(0)).cast("long")).drop("cut_h", "cut_tie")
 

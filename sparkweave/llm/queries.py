@@ -78,6 +78,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+#: The shares in closed form, sources in order of cap by weight; then each source in hash order up to its budget.
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         md5(concat_ws('|', '29', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(md5(text), ''), coalesce(source, ''))) AS place
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS w, 2.0::DOUBLE * n AS most, 1.5::DOUBLE * sum(n) OVER () AS total FROM s),
+o AS (
+  SELECT *, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS w_left, total - coalesce(sum(most) OVER before, 0) AS t_left
+  FROM w WINDOW before AS (ORDER BY most / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, most * w_left <= w * t_left AS full_ FROM o),
+t AS (
+  SELECT source, n, CASE WHEN full_ THEN most ELSE w * (total - sum(CASE WHEN full_ THEN most ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (), 0) END AS target
+  FROM f),
+g AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget, coalesce(CAST(floor(target) AS BIGINT) // nullif(n, 0), 0) AS epochs FROM t),
+e AS (
+  SELECT d.*, n, target, epochs, budget - epochs * n AS rest, sum(size) OVER equal_ AS words, count(*) OVER equal_ AS same, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS upto
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WINDOW equal_ AS (PARTITION BY d.source, place))
+SELECT doc_id, size, n AS source_size, target,
+       CAST(epochs * size + CASE WHEN upto <= rest THEN size WHEN upto - words < rest THEN least(size, (rest - upto + words) // same) ELSE 0 END AS BIGINT) AS taken, source
+FROM e
+"""
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -107,4 +132,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_media_columns": op3_media_columns, "op6_token_shards": op6_token_shards, "op7_pii_surrogates": op7_pii_surrogates, "op4_toxicity": op4_toxicity, "op10_html_extraction": op10_html_extraction, "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op9_ngram_jaccard": op9_ngram_jaccard, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
-ORACLES = {"op1_url_filter": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op8_mixing": OP8_SQL, "op9_ngram_jaccard": OP9_SQL}

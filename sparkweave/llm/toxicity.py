@@ -9,7 +9,7 @@ WINDOW words around it: quotation marks around the hit and words of reporting we
 address in the window strengthen it. A logistic model over the windows' sums gives the document's score.
 
 The sample for fitting is bounded by SAMPLE_TOXIC and SAMPLE_CLEAN rows of at most SAMPLE_CHARS characters, the least
-by hash of their id; one task fits it, and only the model comes to the driver. Every document is scored, whole, in one pass over the table.
+by hash of their id (of an id's several texts, the first in order); one task fits it, and only the model comes to the driver. Every document is scored, whole, in one pass over the table.
 
 Edge cases: null and empty texts have no hit and get the model's score for none; labels that are null are not used,
 of an id's several labels the highest counts; without toxic or clean labels the lexicon is empty and every score is
@@ -229,10 +229,12 @@ def fit_rows(rows: list[tuple[str, int]]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = 5) -> Model:
     """A model from the labelled documents; labels: (key, label), the rows that may be learned from."""
     known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
+    known = known.join(rows.select("k").distinct(), "k", "left_semi")
     order = [F.xxhash64(F.lit(seed), "k"), F.col("k")]
     some = [known.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.length("t") <= SAMPLE_CHARS).join(chosen, "k").select("k", "t", "y").dropDuplicates(["k"])
+    texts = rows.join(chosen, "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y")
     (got,) = texts.repartition(1).mapInArrow(_fit, "model string").collect()  # one task for the bounded sample
     terms, harmless, weights = json.loads(got.model)
     return Model(tuple(map(tuple, terms)), frozenset(harmless), tuple(weights))

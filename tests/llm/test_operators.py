@@ -222,6 +222,21 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_by_sql(spark, docs):
+    """Whole results against the SQL, with null sources, equal rows and blank texts; ids may be null."""
+    import duckdb
+
+    from sparkweave.llm import queries
+
+    rows = [tuple(r) for r in docs.collect()] + [(None, f"word {i}", "en", "a", 6, "x") for i in range(30)] + [(None, "same words here", "en", "c", 6, str(i)) for i in range(40)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", odd.toPandas().astype({"doc_id": "Int64"}))
+    got = Counter((r.doc_id, r.size, r.source_size, r.target, r.taken, r.source) for r in mixing.mix_sizes(odd).collect())
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken, source FROM ({queries.OP8_SQL})").fetchall()
+    assert got == Counter((None if i is None else int(i), *x) for i, *x in want)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Net/x", "http://net/", "http://m.example.net/en/1", "http://xexample.net/en/1", "http://q.org/fr/?a", "http://q.org/de/?utm_source=1", "http://q.example.com/de/", "http://only.net"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
@@ -379,12 +394,67 @@ def test_toxicity(spark, empty):
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert all((got[i] >= 0.7) == bool(y) for i, _, y in rows) and got[1002] >= 0.7 and got[1000] == got[1001] < 0.7
     assert toxicity.reject(docs, model).count() == 402
+    # every score against a lookup by plain edit distance over all terms
+    def plain(word):
+        def distance(a, b):
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                new = [i]
+                for j, y in enumerate(b, 1):
+                    new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+                row = new
+            return row[-1]
+
+        near = [(0 if stem else distance(t, word), t) for t, stem, _ in model.terms if (word.startswith(t) if stem else distance(t, word) <= (len(t) >= toxicity.FUZZY))]
+        return min(near)[::-1] if near else None
+
+    words = {w for _, t, _ in rows[:60] for w in t.split()} | {"grobjan", "schufftig", "lumpenpck", "gruban", "lumpenpackk"}
+    assert all(model.trie.search(w) == plain(w) for w in words)
+    odd = spark.createDataFrame([(None, "you grobian schuftig", 1, "x"), (7, "other", 0, "y"), (7, "other", 0, "y"), (8, "plain " * 200_000, 0, "z")], "doc_id bigint, text string, score int, k string")
+    assert toxicity.score(odd, model).count() == 4 and toxicity.reject(odd, model).columns == odd.columns
     assert toxicity.score(empty, model).count() == 0
 
 
 def test_html(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>One &amp; <b>two</b>,\n three.<p>Four<br>five</article><div class='comments'><p>Nice, very nice, so nice.</p></div><footer>end</footer>"
     assert html_text.main_text(page) == "Title One & two, three. Four five"
-    pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>x</p"), (5, "u", "<div>" * 3000 + "deep")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<p>x</p", "x"), (5, "u", "<div>" * 3000 + "deep", "x"), (None, "u", page, "x"), (1, "u", page, "x")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
-    assert got[2] == got[3] == ("", 0) and got[5] == ("deep", 4)
+    assert got[2] == got[3] == ("", 0) and got[5] == ("deep", 4) and got[None] == got[1]
+    assert html_text.extract(pages).count() == 7 and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_best_container():
+    """The best container against a plain reading of the points, on pages of nested containers."""
+    rng = np.random.default_rng(12)
+
+    def made(depth):
+        if depth == 0:
+            words = ", ".join(rng.choice(WORDS, rng.integers(1, 40)))
+            return f"<p>{words}</p>"
+        return "<div>" + "".join(made(depth - 1) for _ in range(rng.integers(1, 4))) + "</div>"
+
+    def points(node, d=1):
+        total = 0.0
+        for x in node.children:
+            if isinstance(x, tuple):
+                own = " ".join(x[0].split())
+                total += (1 + own.count(",") + min(len(own) / 100, 3)) / (1 if d == 2 else 2 if d == 3 else 3 * (d - 1)) if 1 < d <= html_text.REACH + 1 and own else 0
+            else:
+                total += points(x, d + 1)
+        return total
+
+    for _ in range(50):
+        root, nodes = html_text.parse(made(int(rng.integers(1, 5))))
+        html_text.score(nodes)
+        assert all(abs(x.points - points(x)) < 1e-9 for x in nodes if x.tag == "div")
+
+
+@pytest.mark.parametrize("page", ["<a '", "<div>a", "<p><td>a</p>", "</x><b>", "<!--", "<a", "<a \"'>", "<script", "&lt;a, "])
+def test_html_time(page):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html_text.main_text(page * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 0.5 + 12 * took[0]

@@ -44,7 +44,7 @@ from sparkweave.llm.common import size_in_bytes, stage_table
 MAGIC = b"WVLT0002"
 SHARD_TOKENS = 1 << 20
 #: Bits of a block, and how many opened blocks are kept.
-BLOCK, OPEN = 1 << 15, 512
+BLOCK, OPEN = 1 << 17, 128
 #: Of the table's files, for each range that a task writes.
 RANGE_BYTES = 1 << 24
 #: Bytes of text whose words are told apart at once.
@@ -275,7 +275,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 class Encoder:
     """Ids of texts by a tokenizer's file, the end id included."""
 
-    UNITS = 1_000_000
+    UNITS = 1_500_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -295,11 +295,13 @@ class Encoder:
         self.first = np.zeros(self.UNITS + 1, np.int64)
         self.used = np.zeros(self.UNITS, np.int32)
         self.full = 0
+        #: The end id is the first unit, and stays it.
+        self._keep(["\0\0"], np.array([END], np.uint32), np.array([1]))
 
     def _forget(self) -> None:
         """Keep the units that were met in most slices: at most half of UNITS."""
         used = self.used[: len(self.at)]
-        least = 2
+        used[0], least = np.iinfo(np.int32).max, 2
         while (used >= least).sum() > self.UNITS // 2:
             least += 1
         kept = np.flatnonzero(used >= least)
@@ -374,21 +376,26 @@ class Encoder:
             self._learn(new)
             known[unknown] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
         self.used[known] += 1
-        unit = known[coded.indices.to_numpy()]
-        size = self.first[unit + 1] - self.first[unit]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.first[unit], size)]
-        upto = ends[np.cumsum(n_units)]
-        counts = np.diff(np.concatenate([[0], upto]))
+        upto = np.cumsum(n_units)
+        unit = np.insert(known[coded.indices.to_numpy()], upto, 0)
+        first = self.first[: len(self.at) + 1].astype(np.int32)
+        size = np.diff(first)[unit]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(first[unit] - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.ids[at]
+        counts = np.diff(ends[upto + np.arange(len(upto))], prepend=0).astype(np.int64)
         alone = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch_fast([texts[n] for n in whole], add_special_tokens=False)), strict=True)) if whole else {}
         if not alone:
-            return np.insert(ids, upto, END).astype(np.uint32), counts + 1
+            return ids, counts
         out, start = [], 0
-        for n, c in enumerate(counts):
-            out += [np.asarray(alone[n], np.uint32) if n in alone else ids[start : start + c], np.array([END], np.uint32)]
-            counts[n] = len(out[-2])
-            start = upto[n]
-        return np.concatenate(out), counts + 1
+        for n, c in enumerate(counts.tolist()):
+            if n in alone:
+                out.append(np.asarray(alone[n], np.uint32))
+                counts[n] += len(alone[n])
+            out.append(ids[start : start + c])
+            start += c
+        return np.concatenate(out), counts
 
 
 _ENCODERS: dict[str, Encoder] = {}

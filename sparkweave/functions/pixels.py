@@ -5,6 +5,8 @@ Borders repeat by reflection without the edge itself. Every kernel takes picture
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Weights of the channels in a grey value, in thousandths; means and deviations of the usual training pictures.
@@ -377,6 +379,11 @@ def perceptual_hash(img: np.ndarray) -> int:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
+def thumbnail_hash(img: np.ndarray, side: int = 64) -> str:
+    """SHA-256 of the bytes of the picture at side x side."""
+    return hashlib.sha256(resize(img, side, side).tobytes()).hexdigest()
+
+
 # --- augmentation ---------------------------------------------------------------------------------------------------
 
 

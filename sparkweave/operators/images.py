@@ -124,8 +124,9 @@ def embed(images: DataFrame, key: str, dimension: int = 64, extractor: Callable[
 
 
 def hashes(images: DataFrame, key: str) -> DataFrame:
-    """(key, perceptual): equal or near for pictures that look alike; compare by bit_count(a ^ b)."""
-    return each(images, key, lambda x, r: {"perceptual": P.perceptual_hash(x)}, "perceptual bigint")
+    """(key, perceptual, thumbnail): perceptual is equal or near for pictures that look alike, compare by bit_count(a ^ b);
+    thumbnail is equal for pictures with the same pixels at 64 x 64, and a key for what is computed from them."""
+    return each(images, key, lambda x, r: {"perceptual": P.perceptual_hash(x), "thumbnail": P.thumbnail_hash(x)}, "perceptual bigint, thumbnail string")
 
 
 # --- plans: columns over the metrics ----------------------------------------------------------------------------------

@@ -25,6 +25,12 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def written(files: DataFrame, expected: int) -> DataFrame:
+    """(files, bytes, percent) of a listing, against the bytes that are expected at the end; 0 percent if that is 0."""
+    found = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return found.withColumn("percent", F.coalesce(F.try_divide(F.col("bytes") * 100, F.lit(expected)), F.lit(0.0)))
+
+
 def save_index(index: DataFrame, path: str, metric: str) -> None:
     """(file_id, v) with the metric in every row's partition, so that no file beside the table is needed."""
     index.withColumn("metric", F.lit(metric)).write.mode("overwrite").partitionBy("metric").parquet(path)

@@ -14,6 +14,14 @@ def test_metadata(spark, tmp_path):
     assert [r.length for r in io.list_files(spark, str(tmp_path), "*.tsv").collect()] == [(tmp_path / "m.tsv").stat().st_size]
 
 
+def test_written(spark, tmp_path):
+    for i, n in enumerate((30, 20)):
+        (tmp_path / f"{i}.bin").write_bytes(bytes(n))
+    files = io.list_files(spark, str(tmp_path), "*.bin")
+    assert tuple(io.written(files, 200).first()) == (2, 50, 25.0)
+    assert tuple(io.written(files.limit(0), 0).first()) == (0, 0, 0.0)
+
+
 def test_index(spark, tmp_path):
     index = spark.createDataFrame([(1, [1.0, 2.0])], "file_id bigint, v array<float>")
     io.save_index(index, str(tmp_path / "i"), "cosine")

@@ -1,5 +1,7 @@
 """Kernels on hand-made pictures."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -85,11 +87,20 @@ def test_every_kernel_takes_every_size(shape):
     for name, f in P.AUGMENT.items():
         out = f(x, np.random.default_rng(5))
         assert out.shape == x.shape and out.dtype == np.uint8, name
-    P.quality(x), P.asset_metrics(x), P.shape(x, P.foreground(x)[1]), P.perceptual_hash(x)
+    P.quality(x), P.asset_metrics(x), P.shape(x, P.foreground(x)[1]), P.perceptual_hash(x), P.thumbnail_hash(x)
     assert P.tensor(x).shape == (3, 224, 224) and len(P.project(x, 8)) == 8
     assert P.mixup(x, x, 0.3).shape == P.cutmix(x, x, 0.7, np.random.default_rng(6)).shape == x.shape
 
 
+def test_thumbnail_hash_tells_pixels_apart():
+    x = leaf()
+    y = x.copy()
+    y[24, 24] = 0
+    flat = [np.full((n, n, 3), 9, np.uint8) for n in (5, 64, 90)]
+    assert P.thumbnail_hash(x) == P.thumbnail_hash(x.copy()) != P.thumbnail_hash(y)
+    assert {P.thumbnail_hash(f) for f in flat} == {hashlib.sha256(bytes([9]) * 64 * 64 * 3).hexdigest()}
+
+
 def test_mixes():
     a, b = np.zeros((10, 10, 3), np.uint8), np.full((10, 10, 3), 200, np.uint8)
     assert (P.mixup(a, b, 0.25) == 150).all()

@@ -25,14 +25,23 @@ def file_stats(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("file_id").agg(F.count("*").alias("events"), share("clicked", "selected").alias("ctr"), share("selected").alias("conversion"), F.round(F.coalesce(F.avg("position"), F.lit(0.0)), 6).alias("avg_position"))
 
 
+def labels(feedback: DataFrame) -> DataFrame:
+    """(file_id, label): the mean grade of an item's feedback plus 1, at least 0, for learning to rank."""
+    return feedback.groupBy("file_id").agg(F.greatest(F.lit(0.0), F.avg(grade(F.col("feedback_type"))) + 1).alias("label"))
+
+
 def judgments(feedback: DataFrame) -> DataFrame:
     """(query_hash, file_id, judged): relevant for relevant and selected, irrelevant for irrelevant and dismissed; clicks don't count."""
     judged = F.when(F.col("feedback_type").isin("relevant", "selected"), "relevant").when(F.col("feedback_type").isin("irrelevant", "dismissed"), "irrelevant")
     return feedback.withColumn("judged", judged).filter("judged IS NOT NULL").select("query_hash", "file_id", "judged")
 
 
-def graded_relevance(feedback: DataFrame) -> DataFrame:
-    """(query_hash, file_id, relevance, place): summed grades, files in order of their first position."""
+def graded_relevance(feedback: DataFrame, queries: int | None = None) -> DataFrame:
+    """(query_hash, file_id, relevance, place): summed grades, files in order of their first position; of all queries, or
+    of as many as were asked first (by id)."""
+    if queries is not None:
+        first = feedback.groupBy("query_hash").agg(F.min("id").alias("first")).orderBy("first", "query_hash").limit(queries)
+        feedback = feedback.join(F.broadcast(first.select("query_hash")), "query_hash", "left_semi") if queries <= 10_000 else feedback.join(first.select("query_hash"), "query_hash", "left_semi")
     by = feedback.groupBy("query_hash", "file_id").agg(F.sum(grade(F.col("feedback_type"))).alias("relevance"), F.min("position").alias("first"))
     place = F.row_number().over(Window.partitionBy("query_hash").orderBy("first", "file_id"))
     return by.select("query_hash", "file_id", "relevance", place.cast("long").alias("place"))

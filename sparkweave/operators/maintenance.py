@@ -29,11 +29,20 @@ def hash_order(*cols: Column) -> Column:
 
 
 def stratified_split(items: DataFrame, key: str, stratum: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """(key, stratum, split): by hash order in each stratum; cuts at the rounded shares."""
+    """(key, stratum, split): by hash order in each stratum; cuts at the rounded shares.
+
+    A stratum may hold most rows, so places are counted in ranges of the hash: what one task orders are a range's rows, or
+    the counts of a stratum's ranges (65,536 at most).
+    """
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must sum to 1")
-    at = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(F.col(key), F.lit(seed)), key))
-    n = F.count("*").over(Window.partitionBy(stratum))
+    x = items.select(key, stratum, hash_order(F.col(key), F.lit(seed)).alias("_order")).withColumn("_range", F.substring("_order", 1, 4))
+    of = Window.partitionBy("_stratum")
+    counts = x.groupBy(F.col(stratum).alias("_stratum"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_stratum", "_r", (F.sum("_n").over(of.orderBy("_r")) - F.col("_n")).alias("_before"), F.sum("_n").over(of).alias("_all"))
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_order", key)))
+    items = x.join(counts, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_range") == F.col("_r")))
+    at, n = F.col("_before") + F.col("_at"), F.col("_all")
     part = F.when(at <= F.floor(n * ratios[0]), "train").when(at <= F.floor(n * (ratios[0] + ratios[1])), "val").otherwise("test")
     return items.select(key, stratum, part.alias("split"))
 

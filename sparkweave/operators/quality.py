@@ -44,10 +44,8 @@ def acceptable(found: Column) -> Column:
 
 
 def duplicates(items: DataFrame, key: str, content: Column) -> DataFrame:
-    """(key, holder): rows whose content an earlier row has; holder is the latest of those."""
-    keyed = items.select(F.col(key), F.md5(content.cast("binary")).alias("hash"))
-    holder = F.lag(key).over(Window.partitionBy("hash").orderBy(key))
-    return keyed.select(key, holder.alias("holder")).filter("holder IS NOT NULL")
+    """(key, holder): rows whose content an earlier row has; holder is the latest of those. Null contents are no copies."""
+    return valid_duplicates(items, key, content, F.lit(True))
 
 
 #: Formats, limits of the picture metrics, and penalties beside those by severity.
@@ -68,10 +66,18 @@ def full_score(found: Column, size: Column, blur: Column, content: Column) -> Co
     return F.when(size.isNull(), 0).otherwise(F.greatest(F.lit(0), score(found) - lost))
 
 
-def valid_duplicates(items: DataFrame, key: str, content: Column, is_valid: Column) -> DataFrame:
+def valid_duplicates(items: DataFrame, key: str, content: Column, is_valid: Column, width: int = 1 << 16) -> DataFrame:
     """(key, holder): rows whose content an earlier valid row has; holder is the latest of those. Null contents are no
-    copies of each other."""
-    keyed = items.select(F.col(key), F.md5(content.cast("binary")).alias("hash"), is_valid.alias("valid")).filter("hash IS NOT NULL")
-    earlier = Window.partitionBy("hash").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    holder = F.last(F.when(F.col("valid"), F.col(key)), ignorenulls=True).over(earlier)
-    return keyed.select(key, holder.alias("holder")).filter("holder IS NOT NULL")
+    copies of each other.
+
+    key is a whole number. One content may be that of most rows, so rows are dealt by content and range of width keys; a
+    range's first rows take what the ranges before it hold, of which a content has one row each.
+    """
+    keyed = items.select(F.col(key), F.md5(content.cast("binary")).alias("hash"), is_valid.alias("valid")).filter(F.col("hash").isNotNull() & F.col(key).isNotNull())
+    keyed = keyed.withColumn("part", F.floor(F.col(key) / width))
+    held = F.when(F.col("valid"), F.col(key))
+    within = Window.partitionBy("hash", "part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = keyed.groupBy("hash", "part").agg(F.max(held).alias("top"))
+    passed = ranges.withColumn("passed", F.max("top").over(Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).filter("passed IS NOT NULL")
+    x = keyed.withColumn("own", F.max(held).over(within)).join(passed.drop("top"), ["hash", "part"], "left")
+    return x.select(key, F.coalesce("own", "passed").alias("holder")).filter("holder IS NOT NULL")

@@ -381,16 +381,21 @@ def _(spark, d):
 
 
 def learned(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the cosine candidates, with a graded label from the item's feedback."""
+    """Features of the l2 candidates, with the rates and the graded label of the item's feedback; 0 where there is none."""
     total = items(spark, d).count()
     found = hits(spark, d)
     near = F.exp(-F.col("score"))
     x = found.withColumns({"vector_similarity": near, "cosine_similarity": 1 - F.col("score") * F.col("score") / 2, "l2_distance": F.col("score"), "species_frequency": F.col("n") / total, "species_popularity": F.col("n") / total, "source_score": F.when(F.col("source") == "lab", 1.0).otherwise(0.5)})
     x = x.withColumns({k: F.lit(v) for k, v in ranking.DEFAULTS.items()})
-    return x.withColumn("label", (F.col("file_id") % 5).cast("double"))
+    e = events(spark, d)
+    known = feedback.file_stats(e).select("file_id", "ctr", "conversion").join(feedback.labels(e), "file_id")
+    x = x.join(known, "file_id", "left").withColumns({"click_through_rate": F.coalesce("ctr", "click_through_rate"), "conversion_rate": F.coalesce("conversion", "conversion_rate")})
+    return x.withColumn("label", F.coalesce("label", F.lit(0.0)))
 
 
-_LTR = f"{_HITS}, g AS (SELECT *, (SELECT count(*) FROM items) AS total FROM h), l AS (SELECT query_id, file_id, CAST(file_id % 5 AS DOUBLE) AS label, round(0.30::DOUBLE * exp(-score) + 0.20::DOUBLE * (1 - score * score / 2) - 0.10::DOUBLE * score + 0.15::DOUBLE * n / total + 0.10::DOUBLE * 0.8 + 0.05::DOUBLE * CASE WHEN source = 'lab' THEN 1.0 ELSE 0.5 END + 0.05::DOUBLE * 0.5 + 0.05::DOUBLE * 0.5 + 0.05::DOUBLE * 0.1 + 0.05::DOUBLE * 0.1, 5) AS score FROM g)"
+#: An item's rates and label, from its feedback.
+_LABELS = "fl AS (SELECT file_id, " + ", ".join(f"round(avg(CASE WHEN feedback_type IN ({k}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS {n}" for n, k in (("ctr", "'clicked', 'selected'"), ("conversion", "'selected'"))) + ", greatest(0, avg(CASE feedback_type WHEN 'relevant' THEN 2.0::DOUBLE WHEN 'selected' THEN 1.5::DOUBLE WHEN 'clicked' THEN 0.5::DOUBLE WHEN 'irrelevant' THEN -1.0::DOUBLE ELSE -0.5::DOUBLE END) + 1) AS label FROM feedback GROUP BY file_id)"
+_LTR = f"{_HITS}, g AS (SELECT *, (SELECT count(*) FROM items) AS total FROM h), {_LABELS}, l AS (SELECT query_id, file_id, coalesce(label, 0) AS label, round(0.30::DOUBLE * exp(-score) + 0.20::DOUBLE * (1 - score * score / 2) - 0.10::DOUBLE * score + 0.15::DOUBLE * n / total + 0.10::DOUBLE * 0.8 + 0.05::DOUBLE * CASE WHEN source = 'lab' THEN 1.0 ELSE 0.5 END + 0.05::DOUBLE * 0.5 + 0.05::DOUBLE * 0.5 + 0.05::DOUBLE * coalesce(ctr, 0.1::DOUBLE) + 0.05::DOUBLE * coalesce(conversion, 0.1::DOUBLE), 5) AS score FROM g LEFT JOIN fl USING (file_id))"
 
 
 @query("ltr_linear_rank", f"{_LTR}, k AS (SELECT query_id, file_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS place FROM l) SELECT * FROM k WHERE place <= 10")
@@ -483,7 +488,7 @@ def _(spark, d):
     return found(spark, d).agg(F.count("*").alias("total"), F.count_if(quality.valid(x)).alias("valid"), F.round(F.avg(quality.score(x)), 6).alias("mean_score"), F.sum(F.size(x)).alias("issues"))
 
 
-@query("exact_duplicates", "x AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY md5(text) ORDER BY doc_id) AS holder FROM documents) SELECT * FROM x WHERE holder IS NOT NULL")
+@query("exact_duplicates", "x AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY md5(text) ORDER BY doc_id) AS holder FROM documents WHERE text IS NOT NULL) SELECT * FROM x WHERE holder IS NOT NULL")
 def _(spark, d):
     return quality.duplicates(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", F.col("text"))
 

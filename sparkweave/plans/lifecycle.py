@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions import vectors as V
 from sparkweave.operators import explain, feedback, knn, maintenance, memo, quality, ranking, requests
-from sparkweave.plans.catalog import _CONF, _COS, _HITS, _IDF, _ISSUES, _NORM, _ROCCHIO, FEEDBACK, asked, assets, corpus, events, explained, found, hits, items, learned, query, relevant
+from sparkweave.plans.catalog import _CONF, _COS, _HITS, _IDF, _ISSUES, _LABELS, _NORM, _ROCCHIO, FEEDBACK, asked, assets, corpus, events, explained, found, hits, items, learned, query, relevant
 
 # --- requests and lookups ---------------------------------------------------------------------------------------------
 
@@ -26,9 +26,9 @@ def _(spark, d):
     return spark.createDataFrame([(m, *x) for m, x in requests.METRIC_INFO.items()], "metric string, ascending boolean, normalised boolean")
 
 
-@query("items_for_ranking", "SELECT file_id, species, source, image_path, segmented_path, faiss_id FROM items WHERE file_id % 20 = 0 AND file_id IN (SELECT file_id FROM feedback)")
+@query("items_for_ranking", "SELECT file_id, species, source, image_path, segmented_path, faiss_id FROM items WHERE file_id IN (SELECT file_id FROM feedback)")
 def _(spark, d):
-    wanted = events(spark, d).select("file_id").filter("file_id % 20 = 0").distinct()
+    wanted = events(spark, d).select("file_id").distinct()
     return items(spark, d).join(wanted, "file_id", "left_semi").select("file_id", "species", "source", "image_path", "segmented_path", "faiss_id")
 
 
@@ -83,9 +83,9 @@ def _(spark, d):
     return events(spark, d).select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
 
 
-@query("score_buckets", f"{_HITS} SELECT floor(score * 10) / 10 AS bucket, count(*) AS n FROM h GROUP BY 1")
+@query("score_buckets", f"{_HITS} SELECT round(score, 1) AS bucket, count(*) AS n FROM h GROUP BY 1")
 def _(spark, d):
-    return hits(spark, d).groupBy((F.floor(F.col("score") * 10) / 10).alias("bucket")).agg(F.count("*").alias("n"))
+    return hits(spark, d).groupBy(F.round("score", 1).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("merged_parameters", "SELECT file_id, 'a' AS name, 1 AS value FROM items WHERE file_id % 2 = 1 UNION ALL SELECT file_id, 'a', file_id FROM items WHERE file_id % 2 = 0 UNION ALL SELECT file_id, 'b', 2 FROM items")
@@ -257,8 +257,9 @@ _LEVELS = "a AS (SELECT event_id, user_id AS key FROM events), one AS (SELECT ve
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    entries = lambda rows, value: memo.entries(rows.select(F.col("vec_id").alias("key"), value.alias("value")), now, 3600)
-    return memo.two_levels(spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("user_id").alias("key")), entries(e.filter("label % 2 = 0"), F.col("label")), entries(e, F.col("label") + 100), now)
+    stored = F.when(F.col("value") % 2 == 0, now).otherwise(now - F.expr("INTERVAL 2 HOURS"))  # those of odd labels have run out
+    entries = lambda value, at: memo.entries(e.select(F.col("vec_id").alias("key"), value.alias("value")), at, 3600)
+    return memo.two_levels(spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("user_id").alias("key")), entries(F.col("label"), stored), entries(F.col("label") + 100, now), now)
 
 
 @query("cache_levels", f"{_LEVELS} SELECT event_id, key, value, level FROM j")
@@ -313,7 +314,7 @@ def _(spark, d):
 # --- training ---------------------------------------------------------------------------------------------------------
 
 _KNOWN = {"vector_similarity": "exp(-score)", "cosine_similarity": "1 - score * score / 2", "l2_distance": "score", "species_frequency": "n / total::DOUBLE", "source_score": "CASE WHEN source = 'lab' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END"}
-_ROWS = f"{_HITS}, g AS (SELECT *, (SELECT count(*) FROM items) AS total FROM h), l AS (SELECT query_id, file_id, CAST(file_id % 5 AS DOUBLE) AS label, {', '.join(f'{e} AS {n}' for n, e in _KNOWN.items())} FROM g)"
+_ROWS = f"{_HITS}, g AS (SELECT *, (SELECT count(*) FROM items) AS total FROM h), {_LABELS}, l AS (SELECT query_id, file_id, coalesce(label, 0) AS label, {', '.join(f'{e} AS {n}' for n, e in _KNOWN.items())} FROM g LEFT JOIN fl USING (file_id))"
 _START = {n: ranking.FEATURES[n] for n in _KNOWN}
 _SCORE = " + ".join(f"({w}::DOUBLE) * {{0}}{n}" for n, w in _START.items())
 

@@ -72,6 +72,17 @@ def deviation(v: Column) -> Column:
     return _let(mean(v), lambda m: F.sqrt(total(F.transform(dbl(v), lambda x: (x - m) * (x - m))) / F.size(v)))
 
 
+def quantile(v: Column, p: float) -> Column:
+    """Of the elements, between its two neighbours in proportion; null for an empty vector."""
+
+    def of(s: Column) -> Column:
+        at = (F.size(s) - 1) * p
+        low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return _let(F.array_sort(dbl(v)), of)
+
+
 def zscore(v: Column) -> Column:
     moments = F.struct(mean(v).alias("m"), (deviation(v) + GUARD).alias("s"))
     return _let(moments, lambda k: F.transform(dbl(v), lambda x: (x - k["m"]) / k["s"]))

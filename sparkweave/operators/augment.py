@@ -75,3 +75,8 @@ def mix(pairs: DataFrame, key: str, share: float = 0.5, cut: bool = False, seed:
 def counters(planned: DataFrame) -> DataFrame:
     """(step, n) of all steps planned."""
     return planned.select(F.explode("steps").alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+
+
+def summary(planned: DataFrame) -> DataFrame:
+    """(total, kinds, most) of all steps planned: how many, of how many kinds, and the most frequent (ties: the first name)."""
+    return counters(planned).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds"), F.min_by("step", F.struct(-F.col("n"), "step")).alias("most"))

@@ -73,6 +73,12 @@ def compare(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("better", better).withColumn("differs_in", F.get(F.filter(gaps, lambda x: x["gap"] == largest), F.lit(0))["part"])
 
 
-def as_json(row: dict[str, Column]) -> Column:
-    """One explanation as JSON text, numbers to four decimals."""
-    return F.to_json(F.struct(*[c.alias(n) for n, c in row.items()]))
+def as_json(row: dict[str, Column], fractions: tuple[str, ...] = ()) -> Column:
+    """One row as JSON text; the fields named in fractions are rounded to four decimals."""
+    return F.to_json(F.struct(*[(F.round(c, 4) if n in fractions else c).alias(n) for n, c in row.items()]))
+
+
+def explanation(distance: Column, position: Column, total: Column, count: Column, source: Column, species: Column) -> Column:
+    """struct<confidence, level, text, phrase, concerns, parts>: all there is to say of one result; position from 0."""
+    c = F.round(confidence(distance, position, total, count, source), 6)
+    return F.struct(c.alias("confidence"), level(c).alias("level"), sentence(level(c), species, distance).alias("text"), distance_phrase(distance).alias("phrase"), concerns(c, distance, position + 1, count).alias("concerns"), parts(distance, position, total, count, source).alias("parts"))

@@ -148,6 +148,46 @@ def record(known: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return known.unionByName(numbered(new, order, last).withColumnRenamed("slot", key).select(known.columns))
 
 
+def delete_items(gone: DataFrame, stores: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """What is left in each store (with the column key) without the keys of gone."""
+    keys = gone.select(key).distinct()
+    return {name: store.join(keys, key, "left_anti") for name, store in stores.items()}
+
+
+def ingest(new: DataFrame, vectors: DataFrame, known: DataFrame, index: DataFrame, key: str, reset: bool = False, skip_known: bool = True, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, index, counts): new rows that have a vector are stored and indexed, with the next slots.
+
+    reset starts from nothing; skip_known leaves known rows as they are, otherwise they are replaced (their slot stays);
+    limit takes the first rows by key. counts is (read, known, failed, added, indexed); failed: rows without a vector.
+    """
+    if reset:
+        known, index = known.filter("false"), index.filter("false")
+    new = new.dropDuplicates([key]) if limit is None else new.dropDuplicates([key]).orderBy(key).limit(limit)
+    x = new.join(known.select(key, F.lit(True).alias("_old")), key, "left").join(vectors.select(key, F.lit(True).alias("_has")), key, "left")
+    fresh = x.filter("_old IS NULL AND _has").drop("_old", "_has")
+    replaced = x.filter("_old").drop("_old", "_has")
+    items = (known if skip_known else upsert(known, replaced.select(known.columns), key)).unionByName(fresh.select(known.columns))
+    all_ = appended(index, vectors.join(fresh.select(key), key, "left_semi"), key)
+    old, has = F.coalesce("_old", F.lit(False)), F.coalesce("_has", F.lit(False))
+    n = x.agg(F.count("*").alias("read"), F.count_if(old).alias("known"), F.count_if(~old & ~has).alias("failed"), F.count_if(~old & has).alias("added"))
+    return items, all_, n.crossJoin(all_.agg(F.count("*").alias("indexed")))  # one row each
+
+
+def index_report(index: DataFrame, unit: Column, normalised: dict[str, bool]) -> DataFrame:
+    """(metric, vectors, dimensions, units, fits): whether the vectors (v) are of the length that each metric's index has.
+    unit says whether a row's vector has length 1; a metric that takes vectors as they are doesn't fit one of units only."""
+    n = index.agg(F.count("*").alias("vectors"), F.max(F.size("v")).alias("dimensions"), F.count_if(unit).alias("units"))
+    kinds = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("normalised")) for m, u in normalised.items()])
+    x = n.withColumn("k", F.explode(kinds))
+    return x.select("k.metric", "vectors", "dimensions", "units", ((F.col("units") == F.col("vectors")) == F.col("k.normalised")).alias("fits"))
+
+
+def folders(species: DataFrame, name: str, files: DataFrame, path: str) -> DataFrame:
+    """(folder, here): the folder of each species, and whether a file is in it already."""
+    there = files.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("folder"), F.lit(True).alias("_there")).distinct()
+    return species.select(slug(F.col(name)).alias("folder")).distinct().join(there, "folder", "left").select("folder", F.coalesce("_there", F.lit(False)).alias("here"))
+
+
 def in_buffers(rows: DataFrame, key: str, size: int) -> DataFrame:
     """rows with the number of the buffer they fill, size rows each; the last one is flushed with what there is."""
     return numbered(rows, key).withColumn("buffer", F.floor(F.col("slot") / size).cast("long")).drop("slot")

@@ -48,6 +48,14 @@ def duplicates(items: DataFrame, key: str, content: Column) -> DataFrame:
     return valid_duplicates(items, key, content, F.lit(True))
 
 
+def statistics(items: DataFrame, key: str, found: str, content: Column) -> DataFrame:
+    """(total, valid, acceptable, rate, mean_score, issues, duplicates) of items with their issues; rate in percent."""
+    x = F.col(found)
+    n = items.agg(F.count("*").alias("total"), F.count_if(valid(x)).alias("valid"), F.count_if(acceptable(x)).alias("acceptable"), F.round(F.avg(score(x)), 6).alias("mean_score"), F.coalesce(F.sum(F.size(x)), F.lit(0)).alias("issues"))
+    copies = valid_duplicates(items, key, content, valid(x)).agg(F.count("*").alias("duplicates"))
+    return n.crossJoin(copies).withColumn("rate", F.coalesce(F.round(F.try_divide(F.col("valid") * 100.0, F.col("total")), 6), F.lit(0.0)))  # one row each
+
+
 #: Formats, limits of the picture metrics, and penalties beside those by severity.
 FORMATS = ("JPEG", "PNG", "JPG")
 LEAST_BLUR, LEAST_BRIGHT, MOST_BRIGHT, LEAST_CONTRAST = 20, 20, 80, 15

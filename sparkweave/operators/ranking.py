@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sparkweave.functions import vectors as V
+from sparkweave.operators import maintenance
+
+
 def of_list() -> WindowSpec:
     """The candidates of one query."""
     return Window.partitionBy("query_id")
@@ -18,6 +22,8 @@ def of_list() -> WindowSpec:
 WEIGHTS = {"default": (0.70, 0.05, 0.15, 0.0), "specific": (0.80, 0.05, 0.10, 0.05), "general": (0.65, 0.05, 0.15, 0.15), "ambiguous": (0.70, 0.05, 0.15, 0.10)}
 #: Default weights of the linear model, by feature, in order.
 FEATURES = {"vector_similarity": 0.30, "cosine_similarity": 0.20, "l2_distance": -0.10, "species_frequency": 0.10, "species_popularity": 0.05, "image_quality": 0.10, "source_score": 0.05, "temporal_score": 0.05, "diversity_score": 0.05, "click_through_rate": 0.05, "conversion_rate": 0.05}
+#: Fixed value: queries with less spread are taken for field pictures where there is no hit to tell.
+SPREAD_OF_FIELD = 0.2
 #: What the features are at query time where nothing is known.
 DEFAULTS = {"image_quality": 0.8, "temporal_score": 0.5, "diversity_score": 0.5, "click_through_rate": 0.1, "conversion_rate": 0.1}
 
@@ -52,6 +58,12 @@ def source_vote(hits: DataFrame) -> DataFrame:
     return hits.filter("rank <= 5").groupBy("query_id").agg(F.when(lab * 2 > F.count("*"), "lab").otherwise("field").alias("preferred"))
 
 
+def preferred_sources(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, preferred) of every query (query_id, v): the vote of its hits, or without hits what its spread tells."""
+    spread = F.when(F.round(V.deviation(F.col("v")), 9) < SPREAD_OF_FIELD, "field").otherwise("lab")
+    return queries.join(source_vote(hits), "query_id", "left").select("query_id", F.coalesce("preferred", spread).alias("preferred"))
+
+
 def blend(vector: Column, species: Column, source: Column, diversity: Column, kind: str = "default") -> Column:
     a, b, c, d = WEIGHTS[kind]
     return (a * vector + b * species + c * source + d * diversity) / (a + b + c + d)
@@ -237,6 +249,31 @@ def synthetic_label(vector: Column, cosine: Column, distance: Column, frequency:
     return F.greatest(F.lit(0.0), F.least(F.lit(5.0), 5 * x))
 
 
+def synthetic_features(rows: DataFrame, key: str, source: Column, seed: int = 42) -> DataFrame:
+    """rows with every feature of the model: uniform in [0, 1) by a hash of key, name and seed, but for the source's score."""
+    u = lambda n: F.conv(F.substring(maintenance.hash_order(F.col(key), F.lit(n), F.lit(seed)), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    return rows.withColumns({n: F.when(source == "lab", 1.0).otherwise(0.5) if n == "source_score" else u(n) for n in FEATURES})
+
+
+def search_by_model(candidates: DataFrame, weights: dict[str, float], k: int = 10) -> DataFrame:
+    """(query_id, place, file_id, score): the candidates' features by a model's weights, best first."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id")).cast("long")
+    scored = candidates.select("query_id", "file_id", F.round(linear_score(weights), 5).alias("score"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def run_training(rows: DataFrame, epochs: int = 3, start: dict[str, float] = FEATURES) -> tuple[dict[str, float], DataFrame]:
+    """(weights, evaluation of the test queries): queries are split by hash, the weights that do best on the validation
+    queries are kept. rows: (query_id, file_id, label, features). A part without rows is an error, before any training."""
+    x = rows.join(maintenance.stratified_split(rows.select("query_id").distinct().withColumn("all", F.lit(0)), "query_id", "all"), "query_id")
+    part = {s: x.filter(F.col("split") == s) for s in ("train", "val", "test")}
+    for name, p in part.items():
+        if p.isEmpty():
+            raise ValueError(f"no queries to {name}")
+    weights, _ = train_validated(part["train"], part["val"], epochs, start=start)
+    return weights, evaluate(part["test"].select("query_id", "file_id", "label", F.round(linear_score(weights), 5).alias("score")))
+
+
 def _pairs(rows: DataFrame, names: list[str]) -> DataFrame:
     """Pairs of one list with different labels, the greater first, with the differences of their features."""
     a = rows.select("query_id", F.col("file_id").alias("i"), F.col("label").alias("yi"), *[F.col(n).alias(f"a_{n}") for n in names])

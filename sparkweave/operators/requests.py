@@ -20,3 +20,10 @@ def errors(k: Column, metric: Column, weight: Column, upload: Column) -> Column:
 
 #: Whether less is nearer, whether vectors are taken to unit length, by metric.
 METRIC_INFO = {"cosine": (False, True), "inner_product": (False, False), "l2": (True, True), "l1": (True, False), "angular": (True, True)}
+
+
+def task_id(*key: Column) -> Column:
+    """An id in the form of a UUID, from a hash of what the task is, so that a task sent again has the same one."""
+    m = F.md5(F.concat_ws("|", *key).cast("binary"))
+    cut = lambda at, n: F.substring(m, at, n)
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("4"), cut(14, 3)), F.concat(F.lit("8"), cut(18, 3)), cut(21, 12))

@@ -14,6 +14,12 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("segmented_path", F.nullif(F.nullif(F.trim("segmented_path"), F.lit("")), F.lit("nan")))
 
 
+def profile(rows: DataFrame) -> DataFrame:
+    """(total, species, lab, field, segmented) of metadata, in one pass."""
+    c = F.col
+    return rows.agg(F.count("*").alias("total"), F.count_distinct("species").alias("species"), F.count_if(c("source") == "lab").alias("lab"), F.count_if(c("source") == "field").alias("field"), F.count("segmented_path").alias("segmented"))
+
+
 def new_rows(rows: DataFrame, known: DataFrame, key: str = "file_id") -> DataFrame:
     """Rows whose key isn't known yet, each once: loading twice changes nothing."""
     return rows.dropDuplicates([key]).join(known.select(key), key, "left_anti")
@@ -48,13 +54,13 @@ SPLIT = "file_id bigint, image_path string, species string, source string, segme
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
-    """(SPLIT columns, split) as one folder of CSV files a split."""
-    for name in ("train", "val", "test"):
-        rows.filter(F.col("split") == name).select(*[c.split()[0] for c in SPLIT.split(", ")]).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    """(SPLIT columns, split) as one folder of CSV files a split, ``split=train`` and so on, by one pass over the rows."""
+    kept = rows.filter(F.col("split").isin("train", "val", "test")).select(*[c.split()[0] for c in SPLIT.split(", ")], "split")
+    kept.write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
 
 
 def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.option("header", True).schema(SPLIT).csv(f"{path}/{name}")
+    return spark.read.option("header", True).schema(SPLIT).csv(f"{path}/split={name}")
 
 
 def save_model(spark: SparkSession, weights: dict[str, float], algorithm: str, path: str) -> None:

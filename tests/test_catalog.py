@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparkweave.plans import catalog, curation, lifecycle  # noqa: F401
+from sparkweave.plans import catalog, curation, lifecycle, service  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -12,8 +12,8 @@ The sample for fitting is bounded by SAMPLE_TOXIC and SAMPLE_CLEAN rows of at mo
 by hash of their id (of an id's several texts, the first in order); one task fits it, and only the model comes to the driver. Every document is scored, whole, in one pass over the table.
 
 Edge cases: null and empty texts have no hit and get the model's score for none; labels that are null are not used,
-of an id's several labels the highest counts; without toxic or clean labels the lexicon is empty and every score is
-the prior; repeated rows are scored each. Extra columns are not carried.
+of an id's several labels the highest counts; without toxic or clean labels, or labelled documents, the lexicon is empty and every
+score is the prior; repeated rows are scored each. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -235,8 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     some = [known.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     texts = rows.join(chosen, "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y")
-    (got,) = texts.repartition(1).mapInArrow(_fit, "model string").collect()  # one task for the bounded sample
-    terms, harmless, weights = json.loads(got.model)
+    got = texts.repartition(1).mapInArrow(_fit, "model string").collect()  # one task for the bounded sample, none without rows
+    if not got:
+        return Model()
+    terms, harmless, weights = json.loads(got[0].model)
     return Model(tuple(map(tuple, terms)), frozenset(harmless), tuple(weights))
 
 

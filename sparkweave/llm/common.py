@@ -62,6 +62,14 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until no column of taken is called so (in any case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def keyed_hash(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from sparkweave.llm import bloom
 from sparkweave.llm.arrow import Words, mix64, slices
-from sparkweave.llm.common import row_hash, shuffle_partitions, stage_table
+from sparkweave.llm.common import free_name, row_hash, shuffle_partitions, stage_table
 
 WIDTH = 5
 STAR_ROUNDS = 2
@@ -304,29 +304,26 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return got.select(key, F.col("n").alias("n_shingles"), F.when(alone, F.col(key)).otherwise(F.col("least")).alias("component_id"), F.when(alone, F.col(key)).otherwise(F.col("first")).alias("set_class"), F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("copies"))
 
 
-def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_class(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
         sets = shingle_sets(texts)
-        for name, x in zip(("sig", "check", "n"), (*set_ids(sets), pa.array([len(s) for s in sets], pa.int64())), strict=True):
-            part = part.append_column(f"{name}{OWN}", x)
+        for name, x in zip(names, (*set_ids(sets), pa.array([len(s) for s in sets], pa.int64())), strict=True):
+            part = part.append_column(name, x)
         yield part
 
 
-#: Ends the names of columns that are beside those of the documents.
-OWN = "__set"
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each component, with all columns: of the least key, then set, then row. Ids may be null or clash: rows
-    go by what is in them. Rows without a word link with nothing; only a repeat of the whole row, with an id, goes."""
+    go by what is in them. Rows without a word link with nothing; only a repeat of the whole row, with an id, goes. Columns
+    may have any names."""
     classes, firsts = _grouped(docs.select(F.col(key), "text"), key)
     rep = firsts.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "sig")).alias("rep"))
     firsts = stage_table(firsts.join(rep, "root").select("sig", F.col("rep.sig").alias("rep"), F.col("rep.first").alias("least")), "jaccard-firsts")
     gone = classes.filter("n > 0").join(firsts, "sig").filter((F.col("sig") != F.col("rep")) | ~F.col(key).eqNullSafe(F.col("least")))
-    gone = gone.select(F.col(key).alias("gone_key"), F.col("raw").alias("gone_sig"), F.col("check").alias("gone_check")).distinct()
-    sig, check, n = (f"{x}{OWN}" for x in ("sig", "check", "n"))
-    rows = docs.mapInArrow(_with_class, T.StructType([*docs.schema, *(T.StructField(x, T.LongType()) for x in (sig, check, n))]))
-    rest = rows.join(gone, F.col(key).eqNullSafe(F.col("gone_key")) & (F.col(sig) == F.col("gone_sig")) & (F.col(check) == F.col("gone_check")), "left_anti")
+    gone_key, gone_sig, gone_check, sig, check, n = (free_name(x, docs.columns) for x in ("gone_key", "gone_sig", "gone_check", "set_sig", "set_check", "set_n"))
+    gone = gone.select(F.col(key).alias(gone_key), F.col("raw").alias(gone_sig), F.col("check").alias(gone_check)).distinct()
+    rows = docs.mapInArrow(lambda b: _with_class([sig, check, n], b), T.StructType([*docs.schema, *(T.StructField(x, T.LongType()) for x in (sig, check, n))]))
+    rest = rows.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(sig) == F.col(gone_sig)) & (F.col(check) == F.col(gone_check)), "left_anti")
     tied = rest.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(key).alias("k"), F.col(sig).alias("sig"), F.col(check).alias("check"), F.col(n).alias("n"), row_hash(docs).alias("tie"))
     blank = F.col("n") == 0
     tied = tied.withColumn("apart", F.when(blank & F.col("k").isNull(), F.monotonically_increasing_id()).when(blank, F.col("tie")).otherwise(0))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import row_hash, stage_table
+from sparkweave.llm.common import free_name, row_hash, stage_table
 
 ROWS_PER_PART = 100_000
 #: Cells of the matrix up to which it is broadcast (8 bytes each); beyond it, a join on the part.
@@ -102,7 +102,8 @@ def assign_shards(df: DataFrame, key: str, shards: int, seed: int = 17, rows_per
 def shuffle_documents(docs: DataFrame, key: str, shards: int, seed: int = 17, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """docs, all columns, with shard and slot. Places are drawn on narrow rows; the wide rows move once, by their key.
 
-    Rows that are equal in all columns take the places of their group in order.
+    Rows that are equal in all columns take the places of their group in order. Columns of docs that are called shard or
+    slot get an underscore after their names.
     """
     keyed = docs.select(F.struct("*").alias("doc"), F.col(f"`{key}`").alias("k"), row_hash(docs).alias("tie"))
     placed = assign_shards(keyed.select("k", "tie"), "k", shards, seed, rows_per_part)
@@ -110,4 +111,5 @@ def shuffle_documents(docs: DataFrame, key: str, shards: int, seed: int = 17, ro
     at = keyed.withColumn("i", F.row_number().over(Window.partitionBy("k", "tie").orderBy(F.lit(0))))
     got = at.join(places, at["k"].eqNullSafe(places["k"]) & (at["tie"] == places["tie"]))
     place = F.get("places", F.col("i") - 1)
-    return got.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), place["shard"].alias("shard"), place["slot"].alias("slot"))
+    own = {c: free_name(f"{c}_", docs.columns) if c.lower() in ("shard", "slot") else c for c in docs.columns}
+    return got.select(*(F.col("doc").getField(c).alias(own[c]) for c in docs.columns), place["shard"].alias("shard"), place["slot"].alias("slot"))

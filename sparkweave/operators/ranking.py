@@ -171,7 +171,8 @@ def pairwise_loss(rows: DataFrame) -> DataFrame:
 
 
 def evaluate(rows: DataFrame) -> DataFrame:
-    """(query_id, n, mse, mae, ndcg, spearman) of (query_id, file_id, label, score)."""
+    """(query_id, n, mse, mae, ndcg, spearman) of (query_id, file_id, label, score). spearman is NaN, as SQL's corr, where
+    all scores or all labels of a list are equal; F.corr would divide by zero there."""
     err = F.col("score") - F.col("label")
     by_score, by_label = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id"), Window.partitionBy("query_id").orderBy(F.desc("label"), "file_id")
     gain = F.col("label") / F.log2(F.row_number().over(by_score) + 1)
@@ -180,10 +181,11 @@ def evaluate(rows: DataFrame) -> DataFrame:
     def mean_rank(name: str) -> Column:
         return F.rank().over(Window.partitionBy("query_id").orderBy(name)) + (F.count("*").over(Window.partitionBy("query_id", name)) - 1) / 2
 
+    spearman = F.try_divide(F.covar_pop("rs", "rl"), F.stddev_pop("rs") * F.stddev_pop("rl"))
     x = rows.select("query_id", "label", err.alias("e"), gain.alias("g"), ideal.alias("i"), mean_rank("score").alias("rs"), mean_rank("label").alias("rl"))
     return x.groupBy("query_id").agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("e") * F.col("e")), 6).alias("mse"), F.round(F.avg(F.abs("e")), 6).alias("mae"),
-        F.round(F.coalesce(F.try_divide(F.sum("g"), F.sum("i")), F.lit(0.0)), 6).alias("ndcg"), (F.round(F.corr("rs", "rl"), 6) + 0.0).alias("spearman"),
+        F.round(F.coalesce(F.try_divide(F.sum("g"), F.sum("i")), F.lit(0.0)), 6).alias("ndcg"), (F.round(F.coalesce(spearman, F.lit(float("nan"))), 6) + 0.0).alias("spearman"),
     )
 
 

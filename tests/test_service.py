@@ -74,6 +74,15 @@ def test_training_run(spark):
         ranking.run_training(rows.filter("query_id = 0"), 1, weights)
 
 
+def test_evaluation_of_equal_labels(spark):
+    """A rank correlation isn't defined where all labels or scores are equal, or with one row: NaN, as in SQL."""
+    lists = {1: [(2.0, 0.3), (1.0, 0.2), (0.0, 0.1)], 2: [(0.0, 0.3), (0.0, 0.2)], 3: [(1.0, 0.5), (0.0, 0.5)], 4: [(1.0, 1.0)], 5: [(0.0, 0.3), (1.0, 0.2)]}
+    rows = spark.createDataFrame([(q, f, y, s) for q, x in lists.items() for f, (y, s) in enumerate(x)], "query_id long, file_id long, label double, score double")
+    got = {r.query_id: r for r in ranking.evaluate(rows).collect()}
+    assert {q: str(r.spearman) for q, r in got.items()} == {1: "1.0", 2: "nan", 3: "nan", 4: "nan", 5: "-1.0"}
+    assert (got[2].n, got[2].mse, got[2].mae, got[2].ndcg) == (2, 0.065, 0.25, 0.0)
+
+
 def test_ingest(spark):
     known = spark.createDataFrame([(1, "x")], "file_id long, species string")
     index = spark.createDataFrame([(1, [1.0], 0)], "file_id long, v array<double>, slot long")

@@ -74,6 +74,13 @@ def test_training_run(spark):
         ranking.run_training(rows.filter("query_id = 0"), 1, weights)
 
 
+def test_training_run_of_equal_labels(spark):
+    """Test queries without any feedback, as on larger tables."""
+    rows = spark.createDataFrame([(q, f, 0.0, f * 1.0, 1.0) for q in range(20) for f in range(4)], "query_id long, file_id long, label double, a double, b double")
+    tested = ranking.run_training(rows, 2, {"a": 0.1, "b": 0.0})[1].collect()
+    assert len(tested) == 3 and {(r.n, r.ndcg, str(r.spearman)) for r in tested} == {(4, 0.0, "nan")}
+
+
 def test_evaluation_of_equal_labels(spark):
     """A rank correlation isn't defined where all labels or scores are equal, or with one row: NaN, as in SQL."""
     lists = {1: [(2.0, 0.3), (1.0, 0.2), (0.0, 0.1)], 2: [(0.0, 0.3), (0.0, 0.2)], 3: [(1.0, 0.5), (0.0, 0.5)], 4: [(1.0, 1.0)], 5: [(0.0, 0.3), (1.0, 0.2)]}

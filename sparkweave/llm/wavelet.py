@@ -28,7 +28,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.arrow import slices
+from sparkweave.llm.arrow import _LETTERS, _POWERS, mix64, slices
 from sparkweave.llm.common import size_in_bytes, stage_table
 
 MAGIC = b"WVLT0002"
@@ -273,9 +272,16 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer's file, the end id included."""
+    """Ids of texts by a tokenizer's file, the end id included.
+
+    What is remembered are units' texts as one Arrow array, their hashes in order, and their ids in one array: no unit is
+    an object of its own, which would take three times the memory. A unit that a hash finds is compared as text."""
 
     UNITS = 1_500_000
+    #: Bytes of remembered units' texts; units are long in some corpora.
+    UNIT_BYTES = 1 << 25
+    #: Units whose ids are gathered at once.
+    GATHER = 1 << 17
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -290,47 +296,55 @@ class Encoder:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
         #: Whether a text has no white space but blanks and line ends.
         self.plain = lambda t: not _OTHER_SPACE.search(t)
-        self.at: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.first = np.zeros(self.UNITS + 1, np.int64)
-        self.used = np.zeros(self.UNITS, np.int32)
-        self.full = 0
-        #: The end id is the first unit, and stays it.
-        self._keep(["\0\0"], np.array([END], np.uint32), np.array([1]))
+        self.first = np.zeros(1 << 20, np.int32)
+        self.used = np.zeros(1 << 20, np.int32)
+        self.n, self.full = 0, 0
+        #: Units in order, and which unit has which hash, by hash.
+        self.units = pa.array(["\0\0"], pa.large_string())
+        self.hashes, self.of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: The end id is the first unit, and stays it; no text has its name.
+        self._keep(np.array([END], np.uint32), np.array([1]))
 
     def _forget(self) -> None:
-        """Keep the units that were met in most slices: at most half of UNITS."""
-        used = self.used[: len(self.at)]
+        """Keep the units that were met in most slices: at most half of UNITS and UNIT_BYTES."""
+        used = self.used[: self.n]
+        bytes_ = np.asarray(pa.compute.binary_length(self.units))
         used[0], least = np.iinfo(np.int32).max, 2
-        while (used >= least).sum() > self.UNITS // 2:
+        while (used >= least).sum() > self.UNITS // 2 or bytes_[1:][used[1:] >= least].sum() > self.UNIT_BYTES // 2:
             least += 1
         kept = np.flatnonzero(used >= least)
-        size = np.diff(self.first[: len(self.at) + 1])[kept]
+        size = np.diff(self.first[: self.n + 1])[kept]
         ends = np.cumsum(size)
-        self.full = int(ends[-1]) if len(ends) else 0
-        self.ids[: self.full] = self.ids[np.arange(self.full) + np.repeat(self.first[kept] - (ends - size), size)]
+        self.full = int(ends[-1])
+        ids = self.ids[np.arange(self.full) + np.repeat(self.first[kept] - (ends - size), size)]
+        self.ids = np.zeros(max(1 << 20, self.full * 3 // 2), np.uint32)
+        self.ids[: self.full] = ids
         self.first[1 : len(kept) + 1] = ends
         self.used[:] = 0
-        stays = np.zeros(len(used), bool)
-        stays[kept] = True
-        self.at = {u: i for i, u in enumerate(compress(self.at, stays.tolist()))}
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode what is new. A unit is a word after a blank; with "\n" in front, one after a line's end; with "\0", one
-        that begins a text. Many are encoded in one text: words between blanks, the others as lines."""
-        kinds: dict[str, list[str]] = {"": [], "\n": [], "\0": []}
-        for u in units:
-            kinds[u[0] if u and u[0] in "\n\0" else ""].append(u)
+        now = np.full(self.n, -1, np.int32)
+        now[kept] = np.arange(len(kept))
+        of = now[self.of]
+        self.hashes, self.of = self.hashes[of >= 0], of[of >= 0]
+        self.units, self.n = self.units.take(pa.array(kept)), len(kept)
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Encode what is new; returns the units' numbers. A unit is a word after a blank; with "\n" in front, one after a
+        line's end; with "\0", one that begins a text. Many are encoded in one text: words between blanks, the others as
+        lines."""
+        kinds: dict[str, list[int]] = {"": [], "\n": [], "\0": []}
+        for i, u in enumerate(units):
+            kinds[u[0] if u and u[0] in "\n\0" else ""].append(i)
+        number = np.zeros(len(units), np.int32)
         for front, mine in kinds.items():
-            word = (lambda u: u[1:]) if front else (lambda u: u)
-            bare = list(map(word, mine))
+            bare = [units[i][1:] for i in mine] if front else [units[i] for i in mine]
             if " ".join(bare).split() != bare:
-                odd = [u for u in mine if word(u).split() != [word(u)]]
-                for u, e in zip(odd, self.tokenizer.encode_batch_fast([word(u) if front else " " + u for u in odd], add_special_tokens=False), strict=True):
+                odd = [i for i in range(len(mine)) if bare[i].split() != [bare[i]]]
+                for i, e in zip(odd, self.tokenizer.encode_batch_fast([bare[i] if front else " " + bare[i] for i in odd], add_special_tokens=False), strict=True):
                     ids = np.array([self.newline] * (front == "\n") + e.ids, np.uint32)
-                    self._keep([u], ids, np.array([len(ids)]))
-                mine = [u for u in mine if word(u).split() == [word(u)]]
-                bare = list(map(word, mine))
+                    number[mine[i]] = self._keep(ids, np.array([len(ids)]))
+                mine = [i for i, w in zip(mine, bare, strict=True) if w.split() == [w]]
+                bare = [w for w in bare if w.split() == [w]]
             gap = "\n" if front else " "
             for start in range(0, len(mine), 4096):
                 got = np.array(self.tokenizer.encode_batch_fast([gap + gap.join(bare[start : start + 4096])], add_special_tokens=False)[0].ids, np.uint32)
@@ -340,19 +354,55 @@ class Encoder:
                 ends = np.append(begins[1:], len(got))
                 if front == "\0":
                     got, ends = got[~opens], ends - np.arange(1, len(ends) + 1)
-                self._keep(mine[start : start + 4096], got, ends)
+                number[mine[start : start + 4096]] = self._keep(got, ends)
+        return number
 
-    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        k, n = len(self.at), len(units)
+    def _keep(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of new units, from their ids and where each ends in them."""
+        k, n = self.n, len(ends)
         while self.full + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.uint32)])
         while k + n + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.used = np.concatenate([self.used, np.zeros_like(self.used)])
+            self.first, self.used = (np.concatenate([x, np.zeros(len(x) // 2, np.int32)]) for x in (self.first, self.used))
         self.ids[self.full : self.full + len(ids)] = ids
         self.first[k + 1 : k + n + 1] = self.full + ends
         self.full += len(ids)
-        self.at.update(zip(units, range(k, k + n), strict=True))
+        self.n += n
+        return np.arange(k, k + n)
+
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """The numbers of different units; new ones are learnt."""
+        hashes, number = _hashes(units), np.full(len(units), -1, np.int32)
+        if len(self.hashes) and len(units):
+            by_hash = np.argsort(hashes)
+            at = np.minimum(np.searchsorted(self.hashes, hashes[by_hash]), len(self.hashes) - 1)
+            found = self.hashes[at] == hashes[by_hash]
+            mine, theirs = by_hash[found], self.of[at[found]]
+            same = np.asarray(pa.compute.equal(units.take(pa.array(mine)), self.units.take(pa.array(theirs))))
+            number[mine[same]] = theirs[same]
+        new = np.flatnonzero(number < 0)
+        if new.size:
+            texts = units.take(pa.array(new))
+            number[new] = self._learn(texts.to_pylist())
+            self.units = pa.concat_arrays([self.units, texts.take(pa.array(np.argsort(number[new])))])
+            new = new[np.argsort(hashes[new])]
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes, self.of = np.insert(self.hashes, at, hashes[new]), np.insert(self.of, at, number[new])
+        return number
+
+    def _gather(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of units in turn, where each unit ends)."""
+        first = self.first[: self.n + 1]
+        size = np.diff(first)[unit]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for a in range(0, len(unit), self.GATHER):
+            n, to = size[a : a + self.GATHER], ends[a : a + self.GATHER]
+            start = int(to[0]) - int(n[0])
+            at = np.repeat(first[unit[a : a + self.GATHER]] - (to - n - start).astype(np.int32), n)
+            at += np.arange(len(at), dtype=np.int32)
+            np.take(self.ids, at, out=ids[start : start + len(at)], mode="clip")
+        return ids, ends
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text), each text closed by END."""
@@ -364,28 +414,29 @@ class Encoder:
             else:
                 split.append("\0" + t)
                 n_units[n] = t.count(" ") + t.count("\n") + 1
-        if len(self.at) > self.UNITS:
+        odd = [texts[n] for n in whole]
+        del texts
+        if self.n > self.UNITS or self.units.nbytes - 8 * self.n > self.UNIT_BYTES:
             self._forget()
         # equal units of the slice become one before any of them becomes an object
-        joined = pa.array([" ".join(split).replace("\n", " \n")] if split else [], pa.large_string())
-        coded = pa.compute.split_pattern(joined, " ").values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
-        if (unknown := np.flatnonzero(known < 0)).size:
-            new = [distinct[i] for i in unknown.tolist()]
-            self._learn(new)
-            known[unknown] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
-        self.used[known] += 1
+        joined = " ".join(split)
+        split = bool(split)
+        joined = pa.array([joined.replace("\n", " \n")] if split else [], pa.large_string())
+        coded = pa.compute.split_pattern(joined, " ").values
+        del joined
+        coded = coded.dictionary_encode()
+        # Arrow's pool keeps what is freed, beside what comes next
+        pa.default_memory_pool().release_unused()
+        number = self._numbers(coded.dictionary)
+        self.used[number] += 1
         upto = np.cumsum(n_units)
-        unit = np.insert(known[coded.indices.to_numpy()], upto, 0)
-        first = self.first[: len(self.at) + 1].astype(np.int32)
-        size = np.diff(first)[unit]
-        ends = np.cumsum(size, dtype=np.int32)
-        at = np.repeat(first[unit] - (ends - size), size)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = self.ids[at]
-        counts = np.diff(ends[upto + np.arange(len(upto))], prepend=0).astype(np.int64)
-        alone = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch_fast([texts[n] for n in whole], add_special_tokens=False)), strict=True)) if whole else {}
+        unit = np.insert(number[coded.indices.to_numpy()], upto, 0)
+        del coded, number
+        ids, ends = self._gather(unit)
+        counts = np.diff(ends[upto + np.arange(len(upto))], prepend=0)
+        del unit, ends
+        pa.default_memory_pool().release_unused()
+        alone = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True)) if whole else {}
         if not alone:
             return ids, counts
         out, start = [], 0
@@ -398,6 +449,21 @@ class Encoder:
         return np.concatenate(out), counts
 
 
+def _hashes(units: pa.Array) -> np.ndarray:
+    """64-bit hashes of texts that aren't empty, in pieces."""
+    ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1] if len(units) else np.zeros(1, np.int64)
+    out = np.zeros(len(units), np.uint64)
+    data, at = np.frombuffer(units.buffers()[2] or b"", np.uint8), 0
+    while at < len(units):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 19), "right")) - 1)
+        first = ends[at:to] - ends[at]
+        size = np.diff(ends[at : to + 1])
+        inside = np.arange(int(ends[to] - ends[at])) - np.repeat(first, size)
+        out[at:to] = np.add.reduceat(_LETTERS[data[ends[at] : ends[to]]] * _POWERS[inside & 0xFFFF], first) + size.astype(np.uint64)
+        at = to
+    return mix64(out)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -433,12 +499,13 @@ def _write(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         while at < len(n):
             before_at = int(ends[at - 1]) if at else 0
             to = min(len(n), int(np.searchsorted(ends, before_at + SHARD_TOKENS - sum(map(len, ids)))) + 1)
-            ids.append(got[before_at : ends[to - 1]])
+            ids.append(got[before_at : ends[to - 1]].copy())
             counts.append(n[at:to])
             keys.append(names[at:to])
             at = to
             if sum(map(len, ids)) >= SHARD_TOKENS:
                 yield flush()
+        del got  # what is left is a copy, beside the next slice
     if ids:
         yield flush()
 

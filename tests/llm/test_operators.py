@@ -2,10 +2,12 @@
 
 import hashlib
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +330,38 @@ def test_wavelet_of_a_whole_shard():
     assert np.array_equal(w.documents()[1], np.diff(ends, prepend=0)) and np.array_equal(w.ids(), ids)
 
 
+def test_memory_of_units(monkeypatch):
+    """What an encoder remembers is small, also where units are long, and ids are the tokenizer's after it has forgotten."""
+    path = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    held = lambda: tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    coder, rng = wavelet.Encoder(path), np.random.default_rng(5)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 30, 20_000).tolist()) for _ in range(10)]
+    coder.encode(texts[:1])
+    tracemalloc.start()
+    before = held()
+    for t in texts[1:]:
+        coder.encode([t])
+    grown = held() - before
+    assert grown < 100 * 20_000 * 9
+    monkeypatch.setattr(wavelet.Encoder, "UNIT_BYTES", 1 << 22, raising=False)
+    before = held()
+    coder.encode([" ".join(f"{'xy' * 5_000}{i}" for i in range(700))])
+    coder.encode(["a"])
+    assert held() < before + (1 << 20)
+    tracemalloc.stop()
+    for t in (texts[0], "a x\ty z\nb  c", "xy" * 5_000 + " b\nc"):
+        assert coder.encode([t, "", t])[0].tolist() == [*(own := [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2]), 2, *own]
+
+
+def test_units_of_one_hash(monkeypatch):
+    """Units that a hash doesn't tell apart are compared as texts."""
+    path = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    monkeypatch.setattr(wavelet, "_hashes", lambda units: np.arange(len(units), dtype=np.uint64) % np.uint64(3))
+    coder = wavelet.Encoder(path)
+    for t in ("the cat and the dog\nran", "a dog ran\nand the cat sat", "the cat and the dog\nran"):
+        assert coder.encode([t])[0].tolist() == [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_surrogates(spark, empty):
     docs = spark.createDataFrame([(1, PII, "x"), (2, None, "x"), (3, "", "x"), (4, "nothing 12 here", "x"), (5, PII, "x"), (5, PII, "x"), (None, PII, "x")], "doc_id bigint, text string, attempts string")
     got = {r.doc_id: r for r in surrogates.replace(docs, "k").collect()}

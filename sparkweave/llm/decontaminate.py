@@ -46,6 +46,8 @@ FEW = 8
 PART, PART_EDITS, SLACK = 64, 0.34, 16
 #: Places that count as one; classes that characters are compared by, before they are compared themselves.
 GRAIN, CLASSES = 16, 64
+#: Starts that are walked from at once, candidates that are compared at once: what they need stays in a core's cache.
+RUN, COMPARED = 1 << 12, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -71,36 +73,59 @@ class Walk:
 
 @dataclass
 class Steps:
-    """One walk: its key and the steps that are compared; by character, its value and whether each step moves on."""
+    """One walk: its key and the steps that are compared; by character, its value, whose bit i tells if step i moves on."""
 
     key: int
     sampled: list[int]
 
     def __post_init__(self) -> None:
         self.value = mix64(np.arange(CHARS, dtype=np.uint64) ^ np.uint64(self.key))
-        self.moves = [((self.value >> np.uint64(i)) & np.uint64(1)).astype(np.intp) for i in range(self.sampled[-1] + 1)]
 
 
-#: Characters beyond are taken modulo this.
+class Seen:
+    """Which signatures may be among those given: by their first bits, of which there are more the more are given."""
+
+    def __init__(self, sig: np.ndarray) -> None:
+        bits = min(20, 6 + len(sig).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.low = np.zeros(1 << bits, bool)
+        self.low[(sig >> self.shift).astype(np.intp)] = True
+
+    def among(self, sig: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.low.take((sig >> self.shift).view(np.intp)))
+
+
+#: Characters beyond are taken modulo this, which is what 16 bits hold.
 CHARS = 1 << 16
 #: survives was measured on texts of the test tables with edits in 19% of the characters: 4.7 of 42 starts.
 WALK = Walk(steps=24, samples=14, room=16, survives=0.11, seed=101)
 
 
-def embed(chars: np.ndarray, starts: np.ndarray, walk: Steps) -> tuple[np.ndarray, np.ndarray]:
-    """(signature of the sampled steps, characters used) of the CGK walks from starts. chars: padded at the end."""
-    at, sig = starts.copy(), np.zeros(len(starts), np.uint64)
-    used = starts
-    for i, moves in enumerate(walk.moves):
-        c = chars.take(at)
-        if i in walk.sampled:
-            sig *= np.uint64(0x9E3779B97F4A7C15)
-            sig += walk.value.take(c)
-        if i == walk.sampled[-1]:
-            used = at
-        else:
-            at += moves.take(c)
-    return mix64(sig), used - starts + 1
+def embed(chars: np.ndarray, starts: np.ndarray, walk: Steps, halves: Seen | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which of the starts, signatures of the sampled steps, those half way, characters used) of the CGK walks from
+    starts, which ascend. With halves, walks end half way whose signature isn't among them. chars: padded at the end."""
+    out, last, half = [], walk.sampled[-1], walk.sampled[len(walk.sampled) // 2]
+    for a in range(0, len(starts), RUN):
+        at = starts[a : a + RUN]
+        first, which = at[0], np.arange(a, a + len(at))
+        values = walk.value.take(chars[first : at[-1] + last + 1])
+        at = at - first
+        sig = np.zeros(len(at), np.uint64)
+        for i in range(last + 1):
+            value = values.take(at)
+            if i in walk.sampled:
+                sig *= np.uint64(0x9E3779B97F4A7C15)
+                sig += value
+            if i == half:
+                middle = mix64(sig)
+                if halves:
+                    go = halves.among(middle)
+                    which, at, sig, middle, value = (x.take(go) for x in (which, at, sig, middle, value))
+            if i < last:
+                at += ((value >> np.uint64(i)) & np.uint64(1)).view(np.intp)
+        out.append((which, mix64(sig), middle, at + first - starts.take(which) + 1))
+    none = np.zeros(0, np.intp)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none.view(np.uint64), none.view(np.uint64), none)
 
 
 class Plain:
@@ -120,7 +145,7 @@ class Plain:
         self.text = " " + np.where(inside, buf, np.uint8(0x20))[keep].tobytes().decode()
         chars = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
         self.starts = np.flatnonzero(chars == 0x20) + 1
-        self.chars = np.append(chars % CHARS, np.zeros(WALK.steps + 1, np.uint32)).astype(np.intp)
+        self.chars = np.append(chars.astype(np.uint16), np.zeros(WALK.steps + 1, np.uint16))
 
 
 def distance_in(pattern: str, text: str) -> int:
@@ -145,19 +170,22 @@ def distance_in(pattern: str, text: str) -> int:
     return best
 
 
-def near_by(peq: np.ndarray, length: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Least edit distance of each pattern of up to 64 characters in its row of text. peq: bits by class of character."""
-    one, rows = np.uint64(1), np.arange(len(peq))
+def near_by(peq: np.ndarray, pattern: np.ndarray, length: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Least edit distance of each pattern of up to 64 characters in its column of text, in classes of characters. peq:
+    by pattern, bits by class."""
+    one = np.uint64(1)
     top = (length - 1).astype(np.uint64)
-    pv, mv = np.full(len(peq), ~np.uint64(0)), np.zeros(len(peq), np.uint64)
+    pv, mv = np.full(len(pattern), ~np.uint64(0)), np.zeros(len(pattern), np.uint64)
     d = length.astype(np.int64)
     best = d.copy()
-    for j in range(text.shape[1]):
-        eq = peq[rows, text[:, j]]
+    by_class, base = peq.ravel(), pattern * peq.shape[1]
+    for classes in text:
+        eq = by_class.take(base + classes)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv), pv & xh
-        d += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        d += ((ph >> top) & one).view(np.int64)
+        d -= ((mh >> top) & one).view(np.int64)
         np.minimum(best, d, out=best)
         ph, mh = ph << one, mh << one
         pv, mv = mh | ~(xv | ph), ph & xv
@@ -180,7 +208,7 @@ class Index:
         self.texts = [p.text[1:-1] if n else p.text for n, (_, p) in zip(self.repeats, plain, strict=True)]
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.pieces: list[tuple[str, int, int, int]] = []
-        rows: dict[int, list[tuple[int, int, int, int]]] = {}
+        rows: dict[int, list[tuple[int, int, int, int, int]]] = {}
         parts: list[tuple[int, int]] = []
         walks = WALK.plan(max(self.repeats, default=0))
         for k, (_, p) in enumerate(plain):
@@ -188,8 +216,8 @@ class Index:
             parts += [(k, min(a, max(0, n - PART))) for a in range(0, max(1, n - PART // 2), PART // 2)]
             part_of = lambda o: min(len(parts) - 1, first + max(0, o - PART // 4) // (PART // 2))  # noqa: B023, E731
             for r, walk in enumerate(walks[: self.repeats[k]]):
-                sig, used = embed(p.chars, p.starts[:-1], walk)
-                rows.setdefault(r, []).extend((int(s), k, int(o) - 1, part_of(int(o) - 1)) for s, o, u in zip(sig, p.starts[:-1], used, strict=True) if o + u <= n + 2)
+                _, sig, middle, used = embed(p.chars, p.starts[:-1], walk)
+                rows.setdefault(r, []).extend((int(s), k, int(o) - 1, part_of(int(o) - 1), int(m)) for s, m, o, u in zip(sig, middle, p.starts[:-1], used, strict=True) if o + u <= n + 2)
             if not self.repeats[k]:
                 ends = np.linspace(0, n, self.allowed[k] + 2).astype(int).tolist()
                 self.pieces += [(self.texts[k][a:b], k, a, part_of(a)) for a, b in zip(ends, ends[1:], strict=False)]
@@ -204,9 +232,8 @@ class Index:
         for at, got in rows.items():
             sig = np.array([g[0] for g in got], np.uint64)
             order = np.argsort(sig, kind="stable")
-            low = np.zeros(1 << 20, bool)
-            low[(sig >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[at] = (sig[order], *(np.array([g[i] for g in got], np.int64)[order] for i in (1, 2, 3)), low)
+            halves = Seen(np.array([g[4] for g in got], np.uint64))
+            self.tables[at] = (sig[order], *(np.array([g[i] for g in got], np.int64)[order] for i in (1, 2, 3)), Seen(sig), halves)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"walks": len(self.walks)}
@@ -224,15 +251,15 @@ class Index:
             found.append(np.stack([doc, item, part, (place - offset + self.length[item]) // GRAIN, place - offset], 1))
 
         for r, walk in enumerate(self.walks):
-            sig, _ = embed(docs.chars, starts, walk)
             if r not in self.tables:
                 continue
-            known, item, offset, part, low = self.tables[r]
-            maybe = np.flatnonzero(low[(sig >> np.uint64(44)).astype(np.int64)])
+            known, item, offset, part, seen, halves = self.tables[r]
+            which, sig, *_ = embed(docs.chars, starts, walk, halves)
+            maybe = seen.among(sig)
             lo, hi = np.searchsorted(known, sig[maybe], "left"), np.searchsorted(known, sig[maybe], "right")
             n = hi - lo
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            put(starts[np.repeat(maybe, n)], item[j], part[j], offset[j])
+            put(starts[np.repeat(which[maybe], n)], item[j], part[j], offset[j])
         for piece, k, offset, part in self.pieces:
             at = np.array(list(_places(piece, docs.text)), np.int64)
             lead = piece.startswith(" ")  # a blank that opens a piece belongs to the word after it
@@ -246,11 +273,11 @@ class Index:
             order = np.lexsort((hits[:, 4], hits[:, 0], place))
             fresh = np.append(True, (np.diff(place[order]) != 0) | (np.diff(hits[order, 0]) != 0))[: len(order)]
             hits = hits[order[fresh]]
-            for at in range(0, len(hits), 1 << 14):
-                some = hits[at : at + (1 << 14)]
+            for at in range(0, len(hits), COMPARED):
+                some = hits[at : at + COMPARED]
                 begin = some[:, 4] + self.part_at[some[:, 2]] - SLACK
-                where = np.clip(begin[:, None] + np.arange(PART + 2 * SLACK + GRAIN), 0, len(docs.chars) - 1)
-                far = near_by(self.peq[some[:, 2]], self.part_length[some[:, 2]], docs.chars[where] % CLASSES)
+                where = np.clip(begin + np.arange(PART + 2 * SLACK + GRAIN)[:, None], 0, len(docs.chars) - 1)
+                far = near_by(self.peq, some[:, 2], self.part_length[some[:, 2]], docs.chars[where] % CLASSES)
                 out.update(map(tuple, some[far <= PART_EDITS * self.part_length[some[:, 2]]][:, [0, 1, 4]].tolist()))
         return out
 

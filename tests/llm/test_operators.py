@@ -165,6 +165,48 @@ def test_leak_recall_by_size(n_words):
         assert got <= near and len(got) >= 0.9 * len(near), (share, len(got), len(near))
 
 
+def test_leak_walks():
+    # runs of starts, words longer than a run's, characters beyond 16 bits: as one step after the other gives
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(c) for c in rng.choice([97, 98, 99, 0xE9, 0x4E2D, 0x1F600], rng.integers(1, 9))) for _ in range(9000)]
+    docs = decontaminate.Plain([" ".join([*words[:5000], "ab" * 30_000, *words[5000:]]).encode(), b"", b"one"])
+    starts = docs.starts[:-1]
+    walk = decontaminate.WALK.plan(1)[0]
+    which, sig, middle, used = decontaminate.embed(docs.chars, starts, walk)
+    assert which.tolist() == list(range(len(starts))) and len(starts) > 2 * decontaminate.RUN
+    by_walk: dict[tuple, set[int]] = {}
+    for i in rng.choice(len(starts), 500):
+        at, seen = int(starts[i]), []
+        for step in range(walk.sampled[-1] + 1):
+            c = int(docs.chars[at])
+            if step in walk.sampled:
+                seen.append(c)
+            at += step < walk.sampled[-1] and int(walk.value[c]) >> step & 1
+        assert used[i] == at - starts[i] + 1
+        by_walk.setdefault(tuple(seen), set()).add(int(sig[i]))
+    assert all(len(s) == 1 for s in by_walk.values()) and len(set.union(*by_walk.values())) == len(by_walk)
+    # walks that end half way lose no signature
+    some = np.unique(rng.choice(len(starts), 300))
+    kept, left, _, length = decontaminate.embed(docs.chars, starts, walk, decontaminate.Seen(middle[some]))
+    assert set(some.tolist()) <= set(kept.tolist()) and len(kept) < len(starts)
+    assert (left == sig[kept]).all() and (length == used[kept]).all()
+    assert len(decontaminate.embed(docs.chars, starts[:0], walk)[0]) == 0
+
+
+def test_leak_cost():
+    # what is worked on at once doesn't grow with the slice, and walks in unlike texts end half way
+    rng = np.random.default_rng(6)
+    prose = lambda letters, n: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+    index = decontaminate.Index([(i, prose("abcdefgh", 40)) for i in range(20)])
+    docs = decontaminate.Plain([prose("ijklmnop", 100_000).encode()])
+    tracemalloc.start()
+    assert index.candidates(docs) == set()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(docs.starts)
+    assert len(decontaminate.embed(docs.chars, docs.starts[:-1], index.walks[0], index.tables[0][-1])[0]) < len(docs.starts) / 10
+
+
 def test_leak_ids(spark):
     docs = spark.createDataFrame([(None, "here is one two and more", "z"), ("b", None, "z"), ("b", "one tow", "z")], "doc_id string, text string, item_id string")
     bench = spark.createDataFrame([("x", "One, two"), (None, "one two"), ("y", "!")], "item_id string, text string")
